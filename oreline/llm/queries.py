@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oreline.llm import decontam, mixing, sharding, simhash, tokencount
+from oreline.llm import decontam, mixing, pii, sharding, simhash, tokencount
 from oreline.llm.common import table
 
 
@@ -35,8 +35,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_mixing, op5_sharding, op7_decontamination, op8_token_counts)
+    f.__name__: f for f in (op1_simhash, op2_mixing, op5_sharding, op7_decontamination, op8_token_counts, op10_pii)
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.ORACLE}

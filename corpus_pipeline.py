@@ -4,13 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from oreline.llm import decontam, langid, mixing, sharding, simhash
+from oreline.llm.common import table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language; those without letters or like none of the languages go."""
+    return langid.identify(docs).where("_lid.accepted").drop("_lid")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one of smallest id."""
+    return simhash.deduplicate(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without much of ``benchmark``; short passages of it are cut out of the others."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target asks for, in training order."""
+    return mixing.mix(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document of the mix with its shard and place there; these columns replace others of the same names."""
+    found = sharding.shards(docs, keep_rows=True)
+    added = ["size", "text_crc32", "law", "shard", "slot", "virtual_slot", "map_version"]
+    return found.select(*[found[f"row.`{c}`"] for c in docs.columns if c.lower() not in added], *added)
+
+
+STAGES = [("language", language), ("near_copies", near_copies), ("decontamination", decontamination), ("mixture", mixture), ("shards", shards)]
 #: Stages hash, cluster and score in ways that SQL lacks; tests hold the rows against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

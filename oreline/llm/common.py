@@ -49,6 +49,19 @@ def _remove() -> None:
             return
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns renamed to c0, c1, ..., and the new name of each: what an operator adds
+    cannot clash with them."""
+    names = {old: f"c{k}" for k, old in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def restored(df: DataFrame, names: dict[str, str], added: str | None = None) -> DataFrame:
+    """The columns of ``names`` under their old names, and column ``added``, which replaces an old one of that name."""
+    old = [F.col(new).alias(name) for name, new in names.items() if added is None or name.lower() != added.lower()]
+    return df.select(*old, *[added] * (added is not None))
+
+
 def ascii_lower(c: Column) -> Column:
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return F.translate(c, upper, upper.lower())

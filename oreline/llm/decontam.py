@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from oreline.llm.common import numbered, restored
+
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _FOLD = {c: c + 32 for c in range(65, 91)}
 #: The automaton travels to every executor: more benchmark words than this go in several automata,
@@ -234,12 +236,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
             kept.append(without_spans(text, spans) if spans else None)
         return pa.StructArray.from_arrays([pa.array(drops, pa.bool_()), pa.array(kept, pa.string())], names=["drop", "text"])
 
-    own = "_oreline_clean"
-    out = docs.withColumn(own, clean(F.col(text_col))).where(~F.col(f"{own}.drop"))
-    changed = {text_col: F.coalesce(F.col(f"{own}.text"), F.col(text_col))}
-    if length_col and length_col in docs.columns:
-        changed[length_col] = F.when(F.col(f"{own}.text").isNull(), F.col(length_col)).otherwise(F.length(f"{own}.text")).cast(docs.schema[length_col].dataType)
-    return out.withColumns(changed).select(docs.columns)
+    rows, names = numbered(docs)
+    text = names[text_col]
+    rows = rows.withColumn("clean", clean(F.col(text))).where(~F.col("clean.drop"))
+    changed = {text: F.coalesce(F.col("clean.text"), F.col(text))}
+    if length_col and (length := names.get(length_col)):
+        changed[length] = F.when(F.col("clean.text").isNull(), F.col(length)).otherwise(F.length("clean.text")).cast(docs.schema[length_col].dataType)
+    return restored(rows.withColumns(changed), names)
 
 
 def names_hash(items: Column) -> Column:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oreline.llm.common import cut
+from oreline.llm.common import cut, numbered, restored
 
 LANGUAGES = ("de", "en", "es", "fr")
 NONE = "und"
@@ -115,6 +115,9 @@ def identify(
     Without any labelled row all languages are alike and texts are rejected.
     """
     spark, k = docs.sparkSession, len(languages) + 1
+    docs, names_of = numbered(docs)
+    text_col, declared_col, host_col = names_of[text_col], names_of[declared_col], names_of[host_col]
+    suffix_col = names_of[suffix_col] if suffix_col else None
     table = fit(docs, text_col, declared_col, languages, sample) if table is None else table
     known = F.lower(F.substring(F.coalesce(F.col(declared_col), F.lit("")), 1, 2))
     declared = F.when(known.isin(*languages), known).otherwise("")
@@ -156,7 +159,7 @@ def identify(
     lang = F.when(silent, F.lit(NONE)).otherwise(F.element_at(names, best))
     posterior = F.array_max("_lid_odds") / F.col("_lid_sum")
     rows = rows.withColumn("_lid", F.struct(lang.alias("lang"), posterior.alias("posterior"), F.element_at("_lid_x.p", best).alias("text_share"), F.col("_lid_x.n").alias("n"), ((lang != NONE) & (posterior >= least)).alias("accepted")))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], "_lid")
+    return restored(rows, names_of, "_lid")
 
 
 def of_pages(pages: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:

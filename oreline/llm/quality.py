@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from oreline.llm.common import numbered, restored
+
 WEIGHTS = 1 << 16
 #: Different texts that the scorer is fitted on: those of least hash.
 SAMPLE = 12_000
@@ -156,6 +158,8 @@ def scored(docs: DataFrame, text_col: str = "text", least: float = LEAST, sample
     Null and empty texts vote as wordless and score low; repeated rows come out each. An empty table
     gives no rows.
     """
+    docs, names = numbered(docs)
+    text_col = names[text_col]
     by_code, weights = train(docs, text_col, sample)
     shared = docs.sparkSession.sparkContext.broadcast((by_code, weights))
 
@@ -172,6 +176,5 @@ def scored(docs: DataFrame, text_col: str = "text", least: float = LEAST, sample
             score.append(float(1 / (1 + np.exp(-np.clip(w[at] @ x, -30, 30)))))
         return pa.StructArray.from_arrays([pa.array(posterior), pa.array(score)], names=["posterior", "score"])
 
-    return docs.withColumn("_q", compute(F.col(text_col))).withColumn("_quality", F.struct("_q.posterior", "_q.score", (F.col("_q.score") >= least).alias("keep"))).drop("_q")
-
-
+    found = docs.withColumn("_q", compute(F.col(text_col)))
+    return restored(found.withColumn("_quality", F.struct("_q.posterior", "_q.score", (F.col("_q.score") >= least).alias("keep"))), names, "_quality")

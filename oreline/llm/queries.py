@@ -13,7 +13,7 @@ from oreline.llm.common import table
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", simhash.hex_print(F.col("fp")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", simhash.hex_print(F.col("node")).alias("fingerprint"), "component_id")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,12 @@
 """Near duplicates by SimHash, candidates by the general pigeonhole principle.
 
-Pairs within ``radius`` differing bits are found exactly. The 64 bits are grouped so that correlated
+Pairs within ``radius`` differing bits are found exactly. The bits are grouped so that correlated
 bits share a partition; thresholds T with sum(T) = radius - m + 1 guarantee that a pair within the
 radius is within T[i] on some partition i (Qin et al., 2018). Partition number and thresholds come
 from dynamic programming over estimated candidates and signatures.
+
+Links may reach further than the radius: ``accept`` bits. Pairs between the two are linked wherever
+some partition brings them together, which for wide prints with many partitions is nearly always.
 """
 
 from __future__ import annotations
@@ -18,43 +21,61 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oreline.llm.common import cut
+from oreline.llm.common import cut, numbered, restored
 from oreline.llm.graph import connected_components
 
 BITS = 64
+#: For documents of a similarity (Jaccard, shingles) of 0.8 or more: bits of a print, radius, bits at
+#: which links end. A pair at 0.8 differs in 39 of 256 bits on average, one at 0.6 in 59.
+WIDE_BITS, WIDE_RADIUS, WIDE_ACCEPT = 256, 19, 44
 #: Rows of a bucket that one task compares at once; larger buckets are cut into pairs of blocks.
 BLOCK = 2048
 #: What a signature row and a compared pair cost, in microseconds.
 ROW_US, PAIR_US = 3.0, 0.01
+#: Odd factors that make further words of a wide print from a shingle's hash.
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """The unsigned SimHash of a whole text over shingles of ``width`` words, repeats included.
+def fingerprint(text: str | None, width: int = 4, bits: int = BITS) -> np.ndarray:
+    """The SimHash of a whole text over shingles of ``width`` words, repeats included, as words of 64 bits.
 
     A-Z fold to a-z, words end at ASCII white space, fewer words make one shingle, none make zero.
+    The first word votes on the shingles' XXH64 (seed 42), further ones on mixes of it.
     """
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(bits // 64, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     last = ends[min(width, len(words)) - 1 :]
     first = np.concatenate(([0], ends[: len(last) - 1] + 1))
-    ones = np.zeros(BITS, np.int64)
+    ones = np.zeros(bits, np.int64)
     digest = xxhash.xxh64_intdigest
-    for at in range(0, len(last), 1 << 16):
-        spans = zip(first[at : at + (1 << 16)].tolist(), last[at : at + (1 << 16)].tolist(), strict=True)
+    for at in range(0, len(last), 1 << 14):
+        spans = zip(first[at : at + (1 << 14)].tolist(), last[at : at + (1 << 14)].tolist(), strict=True)
         hashes = np.array([digest(joined[i:j], 42) for i, j in spans], np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, np.int64)
-    return int(np.packbits(2 * ones > len(last), bitorder="little").view(np.uint64)[0])
+        ones += _bits(_widened(hashes, bits)).sum(0, np.int64)
+    return np.packbits(2 * ones > len(last), bitorder="little").view(np.uint64)
+
+
+def _widened(hashes: np.ndarray, bits: int) -> np.ndarray:
+    out = [hashes]
+    for k in range(bits // 64 - 1):
+        x = (hashes ^ (hashes >> np.uint64(29))) * _MIX[k]
+        x = (x ^ (x >> np.uint64(32))) * _MIX[k - 1]
+        out.append(x ^ (x >> np.uint64(31)))
+    return np.stack(out, 1)
 
 
-def fingerprint_column(text: Column, width: int = 4) -> Column:
-    """``fingerprint`` as a signed long column."""
+def fingerprint_column(text: Column, width: int = 4, bits: int = BITS) -> Column:
+    """``fingerprint`` as a struct of ``fp`` (bytes) and ``node``: the print itself as a signed long, or
+    the hash of a wider one (n prints share some with chance n * n / 2**65)."""
 
-    @F.arrow_udf("long")
+    @F.arrow_udf("struct<node:long,fp:binary>")
     def compute(texts: pa.Array) -> pa.Array:
-        return pa.array(np.array([fingerprint(t.as_py(), width) for t in texts], np.uint64).view(np.int64))
+        prints = [fingerprint(t.as_py(), width, bits) for t in texts]
+        nodes = np.array([x[0] if bits == 64 else xxhash.xxh64_intdigest(x.tobytes()) for x in prints], np.uint64).view(np.int64)
+        return pa.StructArray.from_arrays([pa.array(nodes), pa.array([x.tobytes() for x in prints], pa.binary())], names=["node", "fp"])
 
     return compute(text)
 
@@ -62,41 +83,48 @@ def fingerprint_column(text: Column, width: int = 4) -> Column:
 # --- the plan: partitions of bits and thresholds -----------------------------------------------
 
 
-def bit_counts(prints: DataFrame, col: str) -> np.ndarray:
-    """How often bits a and b are both set, as a 64 x 64 matrix; the diagonal has single bits."""
+def _words(prints: pa.Array) -> np.ndarray:
+    """Prints of a column of bytes, a row of 64-bit words each."""
+    return np.frombuffer(b"".join(prints.to_pylist()), np.uint64).reshape(len(prints), -1) if len(prints) else np.zeros((0, 1), np.uint64)
+
+
+def _bits(prints: np.ndarray) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
+
+
+def bit_counts(prints: DataFrame, bits: int) -> np.ndarray:
+    """How often bits a and b are both set, as a matrix; the diagonal has single bits."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((BITS, BITS), np.int64)
+        total = np.zeros((bits, bits))
         for batch in batches:
-            bits = _bits(batch.column(0).to_numpy(zero_copy_only=False)).astype(np.float64)
-            total += (bits.T @ bits).astype(np.int64)
-        at = np.triu_indices(BITS)
-        yield pa.RecordBatch.from_arrays([pa.array(at[0]), pa.array(at[1]), pa.array(total[at])], names=["a", "b", "n"])
-
-    rows = prints.select(col).mapInArrow(partial, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros((BITS, BITS))
-    for a, b, n in rows:
+            found = _bits(_words(batch.column(0))).astype(np.float64) if batch.num_rows else np.zeros((0, bits))
+            total += found.T @ found
+        at = np.triu_indices(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(at[0]), pa.array(at[1]), pa.array(total[at].astype(np.int64))], names=["a", "b", "n"])
+
+    rows = prints.select("fp").mapInArrow(partial, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toLocalIterator()
+    out = np.zeros((bits, bits))
+    for a, b, n in rows:  # one for each pair of bits
         out[a, b] = out[b, a] = n
     return out
 
 
-def _bits(prints: np.ndarray) -> np.ndarray:
-    return np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-
-
 def group_bits(counts: np.ndarray, n: int, m: int) -> list[list[int]]:
     """``m`` groups of bits of near equal width; each grows by the free bit most correlated with it."""
     p = np.diag(counts) / max(n, 1)
     spread = np.sqrt(np.maximum(p * (1 - p), 1e-9))
     near = np.abs((counts / max(n, 1) - np.outer(p, p)) / np.outer(spread, spread))
     np.fill_diagonal(near, 0)
-    free, groups = list(range(BITS)), []
+    free, groups = np.ones(len(p), bool), []
     for k in range(m):
         group: list[int] = []
-        for _ in range(BITS // m + (k < BITS % m)):
-            best = max(free, key=lambda b: (near[b, group or free].sum(), -b))
+        pull = near[:, free].sum(1)
+        for _ in range(len(p) // m + (k < len(p) % m)):
+            best = int(np.argmax(np.where(free, pull, -1)))
+            pull = near[:, best] + (pull if group else 0)
             group.append(best)
-            free.remove(best)
+            free[best] = False
         groups.append(sorted(group))
     return groups
 
@@ -131,137 +159,178 @@ def allocate(groups: list[list[int]], p: np.ndarray, n: int, radius: int, pairs:
     return best[radius - len(groups) + 1]
 
 
-def key_of(col: str, group: list[int]) -> Column:
-    """The bits of a partition, packed."""
-    out = F.lit(0).cast("long")
-    for j, b in enumerate(group):
-        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(col, b).bitwiseAND(F.lit(1)), j))
-    return out
+SIGNATURES = "part int, key long, probe int, node long, fp binary"
+
+
+def signatures(groups: list[list[int]], limits: list[int]):
+    """For ``mapInArrow``: each print's bits of every partition with a threshold from 0, packed (probe 0), and
+    where the threshold is above 0 all keys within it (probe 1)."""
+    flips = [np.array([sum(1 << b for b in flip) for k in range(t + 1) for flip in combinations(range(len(g)), k)], np.int64) if t > 0 else None for g, t in zip(groups, limits, strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                some = batch.slice(at, 4096)
+                found = _bits(_words(some.column(1)))
+                for i, group in enumerate(groups):
+                    if limits[i] < 0:
+                        continue
+                    key = found[:, group].astype(np.int64) @ (1 << np.arange(len(group), dtype=np.int64))
+                    for probe, each in ((0, None), (1, flips[i])):
+                        if probe and each is None:
+                            continue
+                        row = np.arange(len(key)) if each is None else np.repeat(np.arange(len(key)), len(each))
+                        keys = key if each is None else (key[:, None] ^ each[None, :]).ravel()
+                        same = lambda x: pa.array(np.full(len(row), x, np.int32))  # noqa: B023, E731
+                        yield pa.RecordBatch.from_arrays([same(i), pa.array(keys), same(probe), some.column(0).take(pa.array(row)), some.column(1).take(pa.array(row))], names=["part", "key", "probe", "node", "fp"])
+
+    return run
 
 
 # --- probing and verifying -----------------------------------------------------------------------
 
 
-def links(home: np.ndarray, probe: np.ndarray | None, radius: int) -> Iterator[tuple[int, int]]:
-    """Spanning edges of the graph that joins prints within ``radius``: every component of it is
-    connected by them, and a component of k prints has k - 1. probe: only pairs home-probe count."""
-    both = home if probe is None else np.concatenate((home, probe))
-    sides = np.zeros(len(both), bool)
-    sides[len(home) :] = True
-    linked = np.zeros(len(both), bool)
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of prints, word by word."""
+    out = np.bitwise_count(a[..., 0] ^ b[..., 0]).astype(np.int16)
+    for k in range(1, a.shape[-1]):
+        out += np.bitwise_count(a[..., k] ^ b[..., k])
+    return out
+
+
+def links(prints: np.ndarray, probe: np.ndarray, accept: int) -> Iterator[tuple[int, int]]:
+    """Rows that span the graph that joins prints within ``accept`` differing bits: a component of k prints
+    has k - 1. probe: which rows are probes; if any is, only pairs of a probe and another row count."""
+    mixed = bool(probe.any())
+    home = np.flatnonzero(~probe)
+    other = np.flatnonzero(probe) if mixed else home
+    linked = np.zeros(len(prints), bool)
     for at in range(0, len(home), 256):
         row = home[at : at + 256]
-        other = home if probe is None else probe
-        near = np.bitwise_count(row[:, None] ^ other[None, :]) <= radius
-        near &= row[:, None] != other[None, :]
-        linked[at : at + len(row)] |= near.any(1)
-        if probe is not None:
-            linked[len(home) :] |= near.any(0)
+        near = _differ(prints[row][:, None], prints[other][None, :])
+        near = (near <= accept) & (near > 0)
+        linked[row] |= near.any(1)
+        linked[other] |= near.any(0)
     left = np.flatnonzero(linked)
     while len(left):
         todo, left = [left[0]], left[1:]
         while todo and len(left):
             x = todo.pop()
-            hit = np.bitwise_count(both[left] ^ both[x]) <= radius
-            if probe is not None:
-                hit &= sides[left] != sides[x]
-            found, left = left[hit], left[~hit]
-            for y in found.tolist():
-                if both[x] != both[y]:
-                    yield int(both[x]), int(both[y])
+            apart = _differ(prints[left], prints[x][None])
+            hit = apart <= accept
+            if mixed:
+                hit &= probe[left] != probe[x]
+            for y, d in zip(left[hit].tolist(), apart[hit].tolist(), strict=True):
+                if d:
+                    yield int(x), y
                 todo.append(y)
+            left = left[~hit]
 
 
-def _bucket_links(radius: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-            ends = np.array(edges, np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], names=["a", "b"])
-
-        def bucket(part: np.ndarray) -> list[tuple[int, int]]:
-            prints, probe = part[3].view(np.uint64), part[4] > 0
-            if len(prints) < 2:
-                return []
-            return list(links(prints[~probe], prints[probe] if probe.any() else None, radius))
+def _bucket_links(accept: int):
+    def bucket(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        rows = pa.Table.from_batches(parts)
+        if rows.num_rows < 2:
+            return None
+        nodes = rows["node"].to_numpy()
+        probe = rows["probe"].to_numpy() > 0
+        edges = np.array(list(links(_words(rows["fp"].combine_chunks()), probe, accept)), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(nodes[edges[:, 0]]), pa.array(nodes[edges[:, 1]])], names=["a", "b"]) if len(edges) else None
 
-        held: list[np.ndarray] = []  # of the bucket that the last batch ended in
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the bucket that the last batch ended in
+        before = None
         for batch in batches:
-            now = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
-            if not now.shape[1]:
+            if not batch.num_rows:
                 continue
-            new = np.flatnonzero((now[:3, 1:] != now[:3, :-1]).any(0)) + 1
-            starts = [0, *new.tolist(), now.shape[1]]
-            edges: list[tuple[int, int]] = []
-            if held and (held[-1][:3, -1] != now[:3, 0]).any():
-                edges += bucket(np.concatenate(held, axis=1))
-                held = []
-            for i, j in zip(starts[:-2], starts[1:-1], strict=True):
-                edges += bucket(np.concatenate([*held, now[:, i:j]], axis=1))
-                held = []
-            held.append(now[:, starts[-2] :])
-            if edges:
-                yield out(edges)
-        if held and (edges := bucket(np.concatenate(held, axis=1))):
-            yield out(edges)
+            now = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("part", "key", "pair")])
+            starts = [0, *(np.flatnonzero((now[:, 1:] != now[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for i, j in zip(starts[:-1], starts[1:], strict=True):
+                if held and before != tuple(now[:, i]):
+                    if (found := bucket(held)) is not None:
+                        yield found
+                    held = []
+                before = tuple(now[:, i])
+                held.append(batch.slice(i, j - i))
+        if held and (found := bucket(held)) is not None:
+            yield found
 
     return run
 
 
-def near_links(prints: DataFrame, col: str = "fp", radius: int = 4) -> DataFrame:
-    """Edges ``a``, ``b`` between distinct prints of ``prints``: they connect exactly what pairs within
-    ``radius`` differing bits connect. ``col`` must hold each print once; nulls are ignored.
+def near_links(prints: DataFrame, bits: int = BITS, radius: int = 4, accept: int | None = None) -> DataFrame:
+    """Edges ``a``, ``b`` between nodes of ``prints`` (node, fp), which has each print once.
 
-    A bucket beyond ``BLOCK`` rows is cut into blocks by hash, and a task takes a pair of blocks.
+    They connect all that pairs within ``radius`` differing bits connect, and only pairs within
+    ``accept`` (by default the radius). A bucket beyond ``BLOCK`` rows is cut into blocks by hash, and
+    a task takes a pair of blocks.
     """
     spark = prints.sparkSession
-    prints = prints.select(F.col(col).alias("fp")).where("fp is not null")
-    counts = bit_counts(prints, "fp")
+    counts = bit_counts(prints, bits)
     n = prints.count()
     p = np.diag(counts) / max(n, 1)
     groups = min((group_bits(counts, n, m) for m in range(2, radius + 3)), key=lambda g: allocate(g, p, n, radius)[0])
-    keys = F.array(*[F.struct(F.lit(i).alias("part"), key_of("fp", g).alias("key")) for i, g in enumerate(groups)])
-    home = prints.select("fp", F.inline(keys))
+    home = prints.select("node", "fp").mapInArrow(signatures(groups, [0] * len(groups)), SIGNATURES)
     sizes = cut(home.groupBy("part", "key").count(), "buckets")
     same = {i: float(c) for i, c in sizes.groupBy("part").agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).collect()}
     _, limits = allocate(groups, p, n, radius, [same.get(i, 0.0) for i in range(len(groups))])
 
-    rows = home.where(F.col("part").isin([i for i, t in enumerate(limits) if t >= 0])).withColumn("probe", F.lit(0))
-    for i, t in enumerate(limits):
-        if t > 0:
-            masks = [sum(1 << b for b in flip) for k in range(t + 1) for flip in combinations(range(len(groups[i])), k)]
-            flips = F.explode(F.array(*[F.lit(x).cast("long") for x in masks]))
-            one = prints.select("fp", key_of("fp", groups[i]).alias("key"), flips.alias("flip"))
-            rows = rows.unionByName(one.select("fp", F.lit(i).alias("part"), F.col("key").bitwiseXOR(F.col("flip")).alias("key"), F.lit(1).alias("probe")))
+    rows = prints.select("node", "fp").mapInArrow(signatures(groups, limits), SIGNATURES)
     if any(t > 0 for t in limits):
         sizes = rows.groupBy("part", "key").count()
     hot = cut(sizes.where(F.col("count") > BLOCK).select("part", "key", F.ceil(F.col("count") / BLOCK).alias("blocks")), "hot")
     if n_hot := hot.count():
         rows = rows.join(F.broadcast(hot) if n_hot < 100_000 else hot, ["part", "key"], "left")
-        own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+        own = F.pmod(F.xxhash64("node"), F.col("blocks"))
         pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j))
         rows = rows.withColumn("pair", F.explode(F.coalesce(pair, F.array(F.lit(0).cast("long")))))
     else:
         rows = rows.withColumn("pair", F.lit(0).cast("long"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    rows = rows.select("part", "key", "pair", "fp", "probe").repartition(parts, "part", "key", "pair").sortWithinPartitions("part", "key", "pair")
-    return rows.mapInArrow(_bucket_links(radius), "a long, b long").distinct()
+    rows = rows.select("part", "key", "pair", "node", "fp", "probe").repartition(parts, "part", "key", "pair").sortWithinPartitions("part", "key", "pair")
+    return rows.mapInArrow(_bucket_links(radius if accept is None else accept), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``fp`` (signed print), ``component_id`` (smallest id that
-    links reach, itself included) and ``component`` (a print that names the component).
+def _grouped(docs: DataFrame, id_: Column, text: Column, width: int, bits: int, radius: int, accept: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, node), and of each node its component and the component's least row.
+
+    The least row has the smallest id, null last, and of rows that share it the smallest hash of the text.
+    """
+    rows = docs.select(id_.alias("doc_id"), F.xxhash64(text).alias("text_key"), fingerprint_column(text, width, bits).alias("print"))
+    rows = cut(rows.select("doc_id", "text_key", "print.*"), "prints")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    prints = cut(rows.groupBy("node").agg(F.min(row).alias("least"), F.first("fp").alias("fp")), "distinct")
+    found = connected_components(near_links(prints, bits, radius, accept), "a", "b").withColumnRenamed("node", "member")
+    least = found.join(prints, found.member == prints.node).groupBy("root").agg(F.min("least").alias("least_all"))
+    named = prints.select("node", "least").join(found.join(least, "root"), F.col("node") == F.col("member"), "left")
+    return rows.select("doc_id", "node"), named.select("node", F.coalesce("root", "node").alias("component"), F.coalesce("least_all", "least").alias("least"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, bits: int = BITS, radius: int = 4, accept: int | None = None) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id``, ``node`` (the signed print, or the hash of a wide one),
+    ``component_id`` (smallest id that links reach, itself included) and ``component`` (a node).
 
     Null and empty texts have print zero and link like any other. Rows with a null id take part;
     a component of only such rows has a null component_id. Repeated rows and ids give a row each.
     Other columns of ``docs`` are not read. An empty table gives no rows.
     """
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col), width).alias("fp")), "prints")
-    prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    found = connected_components(near_links(prints, "fp", radius), "a", "b")
-    least = found.join(prints, found.node == prints.fp).groupBy("root").agg(F.min("least").alias("least_all"))
-    named = found.join(least, "root").select(F.col("node").alias("fp"), "root", "least_all")
-    named = prints.join(named, "fp", "left").select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("least_all")).alias("component_id"), F.coalesce("root", "fp").alias("component"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id", "component")
+    rows, named = _grouped(docs, F.col(id_col), F.col(text_col), width, bits, radius, radius if accept is None else accept)
+    return rows.join(named, "node").select("doc_id", "node", F.col("least.doc_id").alias("component_id"), "component")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, bits: int = WIDE_BITS, radius: int = WIDE_RADIUS, accept: int = WIDE_ACCEPT) -> DataFrame:
+    """``docs`` with one row of each component: the one of smallest id (null last), then smallest hash
+    of its text; of rows equal in both, any one.
+
+    Nulls, repeated rows and empty tables are treated as in ``near_duplicates``; all columns stay.
+    """
+    docs, names = numbered(docs)
+    id_, text = F.col(names[id_col]), F.col(names[text_col])
+    _, named = _grouped(docs, id_, text, width, bits, radius, accept)
+    chosen = named.select("least.doc_id", F.col("least.text_key").alias("text_key")).distinct()
+    chosen = chosen.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id_key"), "text_key")
+    docs = docs.withColumn("id_key", F.coalesce(id_.cast("string"), F.lit(""))).withColumn("text_key", F.xxhash64(text))
+    return restored(docs.join(chosen, ["id_key", "text_key"], "left_semi").dropDuplicates(["id_key", "text_key"]), names)
 
 
 def hex_print(c: Column) -> Column:

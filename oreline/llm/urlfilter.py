@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oreline.llm.common import ascii_lower, cut
+from oreline.llm.common import ascii_lower, cut, numbered, restored
 
 #: Verdict, host, path: a rule fits its host and all subdomains.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -136,6 +136,8 @@ def judge(pages: DataFrame, url_col: str = "url", rules: tuple = RULES, ratio: R
     Null URLs and URLs without ``://`` have empty host and path, so no rule; the method judges the
     whole string. Repeated rows come out each.
     """
+    pages, names = numbered(pages)
+    url_col = names[url_col]
     ratio = ratio or train(pages, url_col, rules)
     shared = pages.sparkSession.sparkContext.broadcast(ratio)
 
@@ -150,4 +152,5 @@ def judge(pages: DataFrame, url_col: str = "url", rules: tuple = RULES, ratio: R
     url = F.col(url_col)
     out = pages.withColumn("_rule", rule_of(host_of(url), path_of(url), rules))
     out = out.withColumn("_model", compute(url, F.col("_rule").isNotNull()))
-    return out.withColumn("_url", F.struct(host_of(url).alias("host"), path_of(url).alias("path"), F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", "_model.verdict").alias("verdict"), F.col("_model.ratio").alias("ratio"))).drop("_rule", "_model")
+    found = F.struct(host_of(url).alias("host"), path_of(url).alias("path"), F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", "_model.verdict").alias("verdict"), F.col("_model.ratio").alias("ratio"))
+    return restored(out.withColumn("_url", found), names, "_url")

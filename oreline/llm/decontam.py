@@ -262,3 +262,18 @@ def brute_force(text: str | None, items: list[tuple[object, str | None]], width:
                     hit |= set(range(k, k + size))
                     names.add("" if item is None else str(item))
     return len(found), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(found)
+
+
+_FOLDED = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLE = f"""
+WITH d AS (SELECT doc_id, {_FOLDED} AS w FROM documents),
+b AS (SELECT item_id, w, least(13, len(w)) AS n FROM (SELECT item_id, {_FOLDED} AS w FROM benchmark) WHERE len(w) > 0),
+item AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, i + 1, i + n), ' ') AS run FROM (SELECT *, unnest(range(0, len(w) - n + 1)) AS i FROM b)),
+doc AS (SELECT doc_id, n, i, array_to_string(list_slice(w, i + 1, i + n), ' ') AS run FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM b) WHERE len(w) >= n)),
+hit AS (SELECT doc_id, doc.n, i, item_id FROM doc JOIN item ON doc.n = item.n AND doc.run = item.run),
+words AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS names FROM hit GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(names), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(names, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""

@@ -28,16 +28,22 @@ LEAST = 0.5
 
 _CLASS = np.zeros(256, np.int64)
 _CLASS[65:91] = _CLASS[97:123] = np.arange(1, 27)
-_CLASS[0xC0:0x100] = 27
+_CLASS[0xC2:0xC6] = 27
 _CLASS[0x80:0xC0] = 28 + np.arange(0x40) % 4
 
 
 def trigrams(text: str | None) -> np.ndarray:
-    """How often each of 32768 trigrams of character classes that hold a letter occurs in a whole text."""
+    """How often each of 32768 trigrams of character classes that hold a letter occurs in a whole text.
+
+    Letters are those of Latin scripts (up to U+017F); other scripts count as no letters.
+    """
     raw = np.frombuffer((text or "").encode(), np.uint8)
     out = np.zeros(1 << 15, np.int64)
     for at in range(0, max(len(raw) - 2, 0), 1 << 20):
-        c = _CLASS[raw[at : at + (1 << 20) + 2]]
+        part = raw[at : at + (1 << 20) + 2]
+        c = _CLASS[part]
+        before = np.concatenate((raw[max(at - 1, 0) : at], part))[: len(part)] if at else np.concatenate(([0], part[:-1]))
+        c[(part >= 0x80) & (part < 0xC0) & ((before < 0xC2) | (before > 0xC5))] = 0  # continues a letter of another script
         out += np.bincount((c[:-2] << 10) | (c[1:-1] << 5) | c[2:], minlength=1 << 15)
     out[0] = 0
     return out

@@ -67,4 +67,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op7_decontamination": decontam.ORACLE}

@@ -266,8 +266,10 @@ def near_links(prints: DataFrame, bits: int = BITS, radius: int = 4, accept: int
     a task takes a pair of blocks.
     """
     spark = prints.sparkSession
-    counts = bit_counts(prints, bits)
     n = prints.count()
+    if n < 2:  # nothing to link, and no counts to plan by
+        return spark.createDataFrame([], "a long, b long")
+    counts = bit_counts(prints, bits)
     p = np.diag(counts) / max(n, 1)
     groups = min((group_bits(counts, n, m) for m in range(2, radius + 3)), key=lambda g: allocate(g, p, n, radius)[0])
     home = prints.select("node", "fp").mapInArrow(signatures(groups, [0] * len(groups)), SIGNATURES)

@@ -21,13 +21,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from oreline.llm import jaccard
 from oreline.llm.common import cut, numbered, restored
 from oreline.llm.graph import connected_components
 
 BITS = 64
 #: For documents of a similarity (Jaccard, shingles) of 0.8 or more: bits of a print, radius, bits at
-#: which links end. A pair at 0.8 differs in 39 of 256 bits on average, one at 0.6 in 59.
+#: which links end. A pair at 0.8 differs in 39 of 256 bits on average, one at 0.6 in 59: these links
+#: are a cheap start, an exact join finds the rest.
 WIDE_BITS, WIDE_RADIUS, WIDE_ACCEPT = 256, 19, 44
+#: Jaccard similarity of the shingles from which ``deduplicate`` links.
+SIMILARITY = 0.8
 #: Rows of a bucket that one task compares at once; larger buckets are cut into pairs of blocks.
 BLOCK = 2048
 #: What a signature row and a compared pair cost, in microseconds.
@@ -320,15 +324,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "node").select("doc_id", "node", F.col("least.doc_id").alias("component_id"), "component")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, bits: int = WIDE_BITS, radius: int = WIDE_RADIUS, accept: int = WIDE_ACCEPT) -> DataFrame:
+def _similar(docs: DataFrame, id_: Column, text: Column, width: int, bits: int, radius: int, accept: int, similarity: float) -> DataFrame:
+    """Of each set of shingles (node) its component and the component's least row, as in ``_grouped``.
+
+    Links are pairs of ``similarity``: print links, and the pairs between what
+    these connect that an exact join finds.
+    """
+
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    rows = docs.select(id_.alias("doc_id"), F.xxhash64(text).alias("text_key"), jaccard.node_column(text, width).alias("node"), fingerprint_column(text, width, bits).alias("print"))
+    rows = cut(rows, "prints")
+    nodes = cut(rows.groupBy("node").agg(F.min(row).alias("least"), F.min("text_key").alias("text_key"), F.min("print").alias("print")), "distinct")
+    prints = cut(nodes.groupBy("print").agg(F.min("node").alias("first")), "different")
+    same = nodes.join(prints, "print").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    texts = docs.select(F.xxhash64(text).alias("text_key"), text.alias("text"))
+
+    links = near_links(prints.select(F.col("first").alias("node"), "print.fp"), bits, radius, accept)
+    sure = cut(links.union(same), "sure")
+    clusters = cut(connected_components(sure, "a", "b").withColumnRenamed("node", "member"), "clusters")
+    shared = cut(jaccard.prefixes(texts, width, similarity), "prefixes")
+    more = jaccard.verified(jaccard.candidates(shared, clusters, similarity), nodes, texts, width, similarity)
+
+    found = connected_components(sure.union(more), "a", "b").withColumnRenamed("node", "member")
+    least = found.join(nodes, found.member == nodes.node).groupBy("root").agg(F.min("least").alias("least_all"))
+    named = nodes.select("node", "least").join(found.join(least, "root"), F.col("node") == F.col("member"), "left")
+    return named.select("node", F.coalesce("root", "node").alias("component"), F.coalesce("least_all", "least").alias("least"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, bits: int = WIDE_BITS, radius: int = WIDE_RADIUS, accept: int = WIDE_ACCEPT, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each component: the one of smallest id (null last), then smallest hash
-    of its text; of rows equal in both, any one.
+    of its text; of rows equal in both, any one. Texts link whose sets of shingles of ``width`` words
+    have a Jaccard similarity of ``similarity`` or more, and those whose prints are near.
 
     Nulls, repeated rows and empty tables are treated as in ``near_duplicates``; all columns stay.
     """
     docs, names = numbered(docs)
     id_, text = F.col(names[id_col]), F.col(names[text_col])
-    _, named = _grouped(docs, id_, text, width, bits, radius, accept)
+    named = _similar(docs, id_, text, width, bits, radius, accept, similarity)
     chosen = named.select("least.doc_id", F.col("least.text_key").alias("text_key")).distinct()
     chosen = chosen.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id_key"), "text_key")
     docs = docs.withColumn("id_key", F.coalesce(id_.cast("string"), F.lit(""))).withColumn("text_key", F.xxhash64(text))

@@ -119,6 +119,35 @@ def test_deduplicate_of_repeated_rows_null_ids_and_empty_tables(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def jaccard_of(a, b, width=5):
+    x, y = ({" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def edited(words, share, r):
+    """A copy with words changed, one run of 5 shingles each, until about ``share`` similarity is left."""
+    n = len(words) - 4
+    k = round(n * (1 - share) / (1 + share) / 5)
+    out = list(words)
+    for at in r.sample(range(4, len(words) - 4, 6), k):
+        out[at] = f"n{r.random()}"
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("lone", [True])
+def test_deduplicate_links_exactly_the_pairs_of_brute_force(spark, lone):
+    """lone: the prints link nothing, and the exact join is on its own."""
+    r, texts = random.Random(11), []
+    for k in range(60):
+        words = prose(r.choice([150, 400]), 500 + k, 3000).split()
+        texts += [" ".join(words), edited(words, 0.80 + 0.05 * k / 60, r)]
+    near = [jaccard_of(a, b) for a, b in zip(texts[::2], texts[1::2], strict=True)]
+    assert sum(0.8 <= x < 0.86 for x in near) > 40
+    want = {k for k, c in enumerate(components(len(texts), lambda a, b: jaccard_of(texts[a], texts[b]) >= 0.8)) if k == c}
+    options = {"radius": 0, "accept": 0} if lone else {}
+    assert {x.doc_id for x in simhash.deduplicate(documents(spark, texts), **options).select("doc_id").collect()} == want
+
+
 def test_connected_components_of_a_long_chain_and_a_hub(spark):
     edges = [(k, k + 1) for k in range(100, 140)] + [(7, k) for k in range(200, 230)] + [(5, 5), (None, 9)]
     got = dict(graph.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect())

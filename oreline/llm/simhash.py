@@ -327,7 +327,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _similar(docs: DataFrame, id_: Column, text: Column, width: int, bits: int, radius: int, accept: int, similarity: float) -> DataFrame:
     """Of each set of shingles (node) its component and the component's least row, as in ``_grouped``.
 
-    Links are pairs of ``similarity``: print links, and the pairs between what
+    Links are pairs of ``similarity``: print links that hold on whole texts, and the pairs between what
     these connect that an exact join finds.
     """
 
@@ -340,7 +340,7 @@ def _similar(docs: DataFrame, id_: Column, text: Column, width: int, bits: int,
     texts = docs.select(F.xxhash64(text).alias("text_key"), text.alias("text"))
 
     links = near_links(prints.select(F.col("first").alias("node"), "print.fp"), bits, radius, accept)
-    sure = cut(links.union(same), "sure")
+    sure = jaccard.verified(links.union(same), nodes, texts, width, similarity)
     clusters = cut(connected_components(sure, "a", "b").withColumnRenamed("node", "member"), "clusters")
     shared = cut(jaccard.prefixes(texts, width, similarity), "prefixes")
     more = jaccard.verified(jaccard.candidates(shared, clusters, similarity), nodes, texts, width, similarity)
@@ -354,7 +354,7 @@ def _similar(docs: DataFrame, id_: Column, text: Column, width: int, bits: int,
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, bits: int = WIDE_BITS, radius: int = WIDE_RADIUS, accept: int = WIDE_ACCEPT, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each component: the one of smallest id (null last), then smallest hash
     of its text; of rows equal in both, any one. Texts link whose sets of shingles of ``width`` words
-    have a Jaccard similarity of ``similarity`` or more, and those whose prints are near.
+    have a Jaccard similarity of ``similarity`` or more: all such pairs, and no others.
 
     Nulls, repeated rows and empty tables are treated as in ``near_duplicates``; all columns stay.
     """

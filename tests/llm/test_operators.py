@@ -134,7 +134,16 @@ def edited(words, share, r):
     return " ".join(out)
 
 
-@pytest.mark.parametrize("lone", [True])
+def test_deduplicate_keeps_texts_below_the_similarity(spark):
+    r, texts = random.Random(12), []
+    for k in range(40):
+        words = prose(400, 700 + k, 3000).split()
+        texts += [" ".join(words), edited(words, 0.76, r)]
+    assert all(0.7 < jaccard_of(a, b) < 0.8 for a, b in zip(texts[::2], texts[1::2], strict=True))
+    assert simhash.deduplicate(documents(spark, texts)).count() == len(texts)
+
+
+@pytest.mark.parametrize("lone", [True, False])
 def test_deduplicate_links_exactly_the_pairs_of_brute_force(spark, lone):
     """lone: the prints link nothing, and the exact join is on its own."""
     r, texts = random.Random(11), []

@@ -20,7 +20,7 @@ from oreline.llm.common import cut
 
 #: Rows that codebooks are fitted on (those of least hash of the id), coarse centroids, lists that a
 #: query probes, parts of a vector, codes of a part, rows of a block, candidates of a block that
-#: are scored exactly.
+#: are scored exactly at first; all rows that may be as good by the error of their codes follow.
 SAMPLE, LISTS, PROBES, PARTS, CODES, BLOCK, RERANK = 16_384, 64, 48, 16, 256, 8_192, 100
 
 
@@ -88,12 +88,23 @@ def _search_blocks(index: Index, size: int, top: int, rerank: int):
             return ()
         code = index.encode(v, np.full(len(v), rows["list"][0]))
         flat = code.astype(np.int64) + np.arange(code.shape[1]) * index.books.shape[1]
+        centre, parts = index.coarse[rows["list"][0]], code.shape[1]
+        decoded = np.stack([index.books[m][code[:, m]] for m in range(parts)], 1)
+        error = np.sqrt((((v - centre).reshape(len(v), parts, -1) - decoded) ** 2).sum(2))
+        size_of = np.sqrt((v**2).sum(1))
         for q, own in zip(rows["v"][ask], rows["id"][ask], strict=True):
-            rough = index.tables(q).ravel()[flat].sum(1)
+            rough = index.tables(q).ravel()[flat].sum(1) + centre @ q
             rough[ids == own] = -np.inf  # a query is no neighbour of its own
             near = np.argpartition(-rough, rerank)[:rerank] if len(rough) > rerank else np.arange(len(rough))
+            if len(rough) > rerank:  # whatever may reach the last of the best so far: by how much codes can be off
+                first = (v[near] * q).sum(1)
+                first[ids[near] == own] = -np.inf
+                reach = np.partition(-first, min(top, len(first)) - 1)[min(top, len(first)) - 1]
+                off = error @ np.sqrt((q.reshape(parts, -1) ** 2).sum(1))
+                slack = 1e-9 * (size_of.max() + np.sqrt(centre @ centre)) * np.sqrt(q @ q)
+                near = np.flatnonzero(rough + off >= -reach - slack)
             near = near[ids[near] != own]
-            exact = (v[near] * q).sum(1)
+            exact = np.concatenate([np.zeros(0), *((v[near[i : i + BLOCK]] * q).sum(1) for i in range(0, len(near), BLOCK))])
             if len(near) > top:  # keep all that tie with the last
                 last = np.partition(-exact, top - 1)[top - 1]
                 near, exact = near[-exact <= last], exact[-exact <= last]

@@ -419,6 +419,24 @@ def test_hot_list_is_cut_into_blocks(spark, monkeypatch):
         assert np.allclose(sorted(got[got.query_id == q].score), sorted(s)[-20:])
 
 
+def test_copies_beyond_the_rerank_are_told_apart(spark):
+    """More copies, and more near copies, in a block than are reranked at first."""
+    r = np.random.default_rng(2)
+    base = r.normal(size=8)
+    rows = [(int(k), (base + (0 if k % 2 else 1e-4) * r.normal(size=8)).tolist()) for k in r.permutation(800)]
+    rows += [(int(1000 + k), r.normal(size=8).tolist()) for k in range(200)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), sample=300, lists=2, probes=2, parts=2, rerank=100).toPandas()
+    ids, v = np.array([k for k, _ in rows]), np.array([x for _, x in rows])
+    copies = np.flatnonzero((ids < 1000) & (ids % 2 == 1))
+    for q in ids[ids % 20 == 0].tolist():
+        s = (v * v[ids == q][0]).sum(1)
+        s[ids == q] = -np.inf
+        assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == ids[np.lexsort((ids, -s))[:20]].tolist()
+    frame = spark.createDataFrame([(int(ids[k]), v[k].tolist()) for k in copies] + [(0, base.tolist())], "vec_id long, embedding array<double>")
+    only = ann.nearest(frame, sample=300, lists=2, probes=2, parts=2, rerank=100).where("query_id = 0").orderBy("rank").toPandas()
+    assert only.vec_id.tolist() == sorted(ids[copies].tolist())[:20]
+
+
 # --- 10 -----------------------------------------------------------------------------------------------
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

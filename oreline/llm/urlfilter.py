@@ -19,8 +19,8 @@ from oreline.llm.common import ascii_lower, cut, numbered, restored
 #: Verdict, host, path: a rule fits its host and all subdomains.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: Characters of context at most; different URLs per verdict that the models are fitted on (those of
-#: least hash; one in five is held out); characters of a URL that train (all are scored).
-ORDER, SAMPLE, LONGEST = 4, 20_000, 2_000
+#: least hash; one in five is held out).
+ORDER, SAMPLE = 4, 20_000
 
 
 def host_of(url: Column) -> Column:
@@ -104,7 +104,7 @@ def fit(allowed: list[str], blocked: list[str], order: int = ORDER) -> Ratio:
     for model, urls in ((out.good, allowed), (out.bad, blocked)):
         for k, url in enumerate(sorted(urls)):
             if k % 5:
-                model.add(url[:LONGEST])
+                model.add(url)
     if not out.good.counts or not out.bad.counts:
         return out
     for y, urls in ((1, allowed), (0, blocked)):

@@ -304,6 +304,11 @@ def test_url_rules_and_model(spark):
     assert urlfilter.judge(pages.limit(0)).count() == 0
 
 
+def test_url_models_learn_whole_urls():
+    ratio = urlfilter.fit([f"http://a/{k}{'x' * 2500}good" for k in range(10)], [f"http://a/{k}{'x' * 2500}evil" for k in range(10)])
+    assert ratio.good.counts["goo"]["d"] == 8 and ratio.bad.counts["evi"]["l"] == 8
+
+
 def test_url_ratio_on_held_out_urls():
     r = random.Random(4)
     good = [f"http://site{r.randrange(99)}.example/articles/{r.randrange(9999)}" for _ in range(400)]

@@ -86,7 +86,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     out: Counter[int] = Counter()
     for tag, words in ((1, raw.lower().split()), (2, raw.translate(_SHAPE).split())):
         for w, c in Counter(words).items():
-            out[zlib.crc32(w[:64], tag) % WEIGHTS] += c / len(words)
+            out[zlib.crc32(w, tag) % WEIGHTS] += c / len(words)
     m = measures(text)
     for j, x in enumerate(votes(m)):
         out[zlib.crc32(b"%d:%d" % (j, x), 3) % WEIGHTS] += 1

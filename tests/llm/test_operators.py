@@ -240,6 +240,11 @@ def test_quality_against_labels_and_odd_texts(spark):
     assert quality.scored(documents(spark, ODD).limit(0)).count() == 0
 
 
+def test_quality_features_take_whole_words():
+    one, other = (set(quality.features("q" * 64 + end)[0].tolist()) for end in ("abc", "xyz"))
+    assert one != other
+
+
 def test_expectation_maximisation_finds_the_better_labeller():
     r = random.Random(3)
     seen = {}

@@ -1,8 +1,8 @@
 """Search of many terms in texts: exact, normalised and with typing errors.
 
-Texts are cut into words inside their row, words are held against the keys of all variations there
-(a hashed set), and only hits leave the row; so nothing but hits is ever shuffled. Offsets and columns
-count bytes of UTF-8, lines count from 1.
+Texts are cut into words inside their row, words are held against the keys of the variations there
+(or, of many, in a join with their table), and get their place; so nothing but hits is ever shuffled.
+Offsets and columns count bytes of UTF-8, lines count from 1.
 """
 
 from __future__ import annotations
@@ -13,11 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from oreline.functions import variations as V
+from oreline.functions.arrays import let, maxima, sums
 from oreline.functions.charset import Alphabet, CharacterSet, Match, alphabet
 from oreline.functions.tlds import COMMON
 
-#: Keyword tables up to this many rows are broadcast; larger ones are joined by a shuffle of the hits.
-BROADCAST_ROWS = 500_000
+#: Bytes of strings up to which the keyword table is broadcast; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
+#: Keys up to which words are checked in their row, by a set in the plan.
+LITERAL_KEYS = 1_000
+CONTEXT = ("context_before", "context_after", "trimmed_left", "trimmed_right")
 RESULT = ("original", "variation", "matched_text", "line_number", "column", "start_of_word", "end_of_word", "start_of_match", "end_of_match", "start_of_line")
 
 
@@ -28,6 +32,7 @@ class Keyword:
     variation: str
     exact_candidate: bool
     alt_originals: tuple[str, ...] | None = None
+    group: int = 0
 
 
 @dataclass(frozen=True)
@@ -93,9 +98,20 @@ class Search:
         """How many variations beside the terms, and how many distinct prefixes (with the empty one) they have."""
         return {"variations": sum(not k.exact_candidate for k in self.keywords), "nodes": len({k.variation[:i] for k in self.keywords for i in range(len(k.variation) + 1)})}
 
-    def keyword_frame(self, spark: SparkSession) -> DataFrame:
-        rows = [(k.ord, k.original, k.variation, k.exact_candidate, list(k.alt_originals) if k.alt_originals else None, self._key_of(k)) for k in self.keywords]
-        return spark.createDataFrame(rows, "ord long, original string, variation string, exact_candidate boolean, alt_originals array<string>, key string")
+    def keyword_frame(self, spark: SparkSession, once: bool = False) -> DataFrame:
+        """The keywords as a table. once: of those of a group that share key and original only the first."""
+        rows, seen = [], set()
+        for k in self.keywords:
+            key = self._key_of(k)
+            if once and (k.group, key, k.original) in seen:
+                continue
+            seen.add((k.group, key, k.original))
+            rows.append((k.ord, k.original, k.variation, k.exact_candidate, list(k.alt_originals) if k.alt_originals else None, key, k.group))
+        return spark.createDataFrame(rows, "ord long, original string, variation string, exact_candidate boolean, alt_originals array<string>, key string, group int")
+
+    def nbytes(self) -> int:
+        """How large the keyword table is: its strings and 64 bytes a row."""
+        return sum(64 + 4 * (len(k.original) + 2 * len(k.variation) + sum(map(len, k.alt_originals or ()))) for k in self.keywords)
 
     def _key_of(self, k: Keyword) -> str:
         return k.variation if self.parameters.match == Match.EXACT else self.alphabet.variation_key(k.variation)
@@ -104,80 +120,27 @@ class Search:
         key = self.alphabet.key(word)
         return F.regexp_replace(key, "-+", "-") if self.parameters.collapse_mixed and self.alphabet.merged else key
 
-    def match(self, docs: DataFrame, key: list[str], text: str) -> DataFrame:
+    def match(self, docs: DataFrame, key: list[str], text: str, routes: str | None = None) -> DataFrame:
         """Columns ``key`` of ``docs`` and those of ``RESULT`` (with context_before, context_after, trimmed_left
         and trimmed_right if asked for), a row per term found in a word.
 
         ``key`` names a row of ``docs``: rows that share it must not differ. Null and empty texts give no
-        rows. Of several hits of a term in one word the first in emission order counts.
+        rows. Of several hits of a term in one word the first in emission order counts. routes: a column
+        with the array of groups whose terms are searched in a row; results then have ``group``.
         """
         p, a = self.parameters, self.alphabet
-        keys = sorted({self._key_of(k) for k in self.keywords})
-        lengths = sorted({len(k) for k in keys})
         if p.fail_on_invalid:
             bad = F.regexp_extract(text, f"[^{a.body}]", 0)
             docs = docs.withColumn(text, F.when(bad != "", F.raise_error(F.concat(F.lit("invalid character '"), bad, F.lit("'")))).otherwise(F.col(text)))
-        rows = docs.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(key)], F.col(text).alias("text"), a.tokens(F.col(text)).alias("tokens"))
-        # Keys hold word characters only, so runs of others fall out by key; by length most words do before.
-        words = F.transform("tokens", lambda t, i: F.struct(i.alias("pos"), t.alias("word")))
-        whole = p.anchor_beginning and p.anchor_end
-        fits = (lambda n: n.isin(lengths)) if whole else (lambda n: n >= lengths[0])
-        short = (lambda t: fits(F.length(t)) | F.contains(t, F.lit("--"))) if whole and (a.collapse or p.collapse_mixed) else (lambda t: fits(F.length(t)))
-        if p.collapse_mixed:
-            short = lambda t: F.length(t) >= lengths[0]
-        words = F.transform(F.filter(words, lambda w: short(w["word"])), lambda w: F.struct(w["pos"].alias("pos"), w["word"].alias("word"), self._word_key(w["word"]).alias("key")))
-
-        def span(word_key: Column, size: int):
-            return lambda s: F.struct(s.alias("from"), F.lit(size).alias("size"), F.substr(word_key, s + 1, F.lit(size)).alias("key"))
-
-        def spans(w: Column) -> Column:
-            """Key spans of a word that are some variation's."""
-            n = F.length(w["key"])
-            each = []
-            for size in lengths:
-                last = n - size
-                starts = F.sequence(F.lit(0), last)
-                if p.anchor_beginning:
-                    starts = F.array(F.lit(0))
-                elif p.anchor_end:
-                    starts = F.array(last)
-                here = (last == 0) if p.anchor_beginning and p.anchor_end else last >= 0
-                each.append(F.when(here, F.transform(starts, span(w["key"], size))))
-            found = F.concat(*[F.coalesce(x, F.array().cast("array<struct<from:int,size:int,key:string>>")) for x in each])
-            return F.filter(found, lambda x: x["key"].isin(keys))
-
-        if whole:
-            hits = F.transform(F.filter(words, lambda w: w["key"].isin(keys)), lambda w: F.struct(w["pos"].alias("pos"), w["word"].alias("word"), F.length(w["key"]).alias("width"), F.array(F.struct(F.lit(0).alias("from"), F.length(w["key"]).alias("size"), w["key"].alias("key"))).alias("spans")))
-        else:
-            hits = F.transform(words, lambda w: F.struct(w["pos"].alias("pos"), w["word"].alias("word"), F.length(w["key"]).alias("width"), spans(w).alias("spans")))
-            hits = F.filter(hits, lambda w: F.size(w["spans"]) > 0)
-
-        # What lies between a hit and the one before is joined once, so offsets cost the text's length in all.
         own = [f"k{i}" for i in range(len(key))]
-        rows = rows.withColumn("hits", hits)
-        last = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get("hits", i - 1)["pos"])
-        gaps = F.transform("hits", lambda w, i: F.struct(w.alias("hit"), F.array_join(F.slice("tokens", last(i) + 2, w["pos"] - last(i) - 1), "").alias("gap")))
-        placed = "array<struct<pos:int,word:string,width:int,spans:array<struct<from:int,size:int,key:string>>,at:long,line:long,into:long>>"
-
-        def step(acc: Column, x: Column) -> Column:
-            w, gap = x["hit"], x["gap"]
-            size, n = F.octet_length(gap), F.octet_length(w["word"])
-            lines = F.length(gap) - F.length(F.replace(gap, F.lit("\n"), F.lit("")))
-            at, line = acc["at"] + size, acc["line"] + lines
-            into = F.when(lines > 0, F.octet_length(F.substring_index(gap, "\n", -1)).cast("long")).otherwise(acc["into"] + size)
-            one = F.struct(w["pos"].alias("pos"), w["word"].alias("word"), w["width"].alias("width"), w["spans"].alias("spans"), at.alias("at"), line.alias("line"), into.alias("into"))
-            return F.struct((at + n).alias("at"), line.alias("line"), (into + n).alias("into"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-        zero = F.lit(0).cast("long")
-        start = F.struct(zero.alias("at"), F.lit(1).cast("long").alias("line"), zero.alias("into"), F.array().cast(placed).alias("out"))
-        rows = rows.select(*own, *["text"] * p.context, F.explode(F.aggregate(gaps, start, step, lambda acc: acc["out"])).alias("w"))
-        rows = rows.select(*own, *["text"] * p.context, "w.pos", "w.word", "w.width", "w.at", "w.line", "w.into", F.explode("w.spans").alias("s"))
-        terms = self.keyword_frame(docs.sparkSession)
-        if p.anchor_beginning and p.anchor_end and p.match not in (Match.TYPO,):
-            # A word has one span: what would be dropped among its hits can go among the keywords.
-            terms = terms.withColumn("n", F.row_number().over(Window.partitionBy("key", "original").orderBy("ord"))).where("n = 1").drop("n")
-        terms = F.broadcast(terms) if len(self.keywords) <= BROADCAST_ROWS else terms
-        found = rows.join(terms, F.col("s.key") == terms["key"])
+        rows = docs.select(*[F.col(k).alias(c) for c, k in zip(own, key, strict=True)], *([F.col(routes).alias("routes")] if routes else []), F.explode(self._placed(F.col(text))).alias("w"))
+        carried = [*own, *["routes"] * bool(routes)]
+        rows = rows.select(*carried, "w.*").select("*", F.explode("spans").alias("s")).drop("spans")
+
+        terms = self.keyword_frame(docs.sparkSession, once=p.anchor_beginning and p.anchor_end and p.match != Match.TYPO)
+        found = rows.join(F.broadcast(terms) if self.nbytes() <= BROADCAST_BYTES else terms, F.col("s.key") == terms["key"])
+        if routes:
+            found = found.where(F.array_contains("routes", F.col("group")))
 
         unit = "-+|[^-]" if a.collapse else "."
         raw = lambda n: F.coalesce(F.regexp_substr("word", F.concat(F.lit(f"(?s)^(?:{unit}){{"), n.cast("string"), F.lit("}"))), F.lit(""))
@@ -188,13 +151,85 @@ class Search:
         if not (p.anchor_beginning and p.anchor_end and p.match != Match.TYPO):
             live = F.col("s.from") + F.col("s.size") == F.col("width")
             order = [(~live).cast("int"), F.when(live, 0).otherwise(F.col("stop")), F.col("begin"), F.col("ord")]
-            found = found.withColumn("first", F.row_number().over(Window.partitionBy(*own, "pos", "original").orderBy(*order))).where("first = 1")
+            found = found.withColumn("first", F.row_number().over(Window.partitionBy(*own, "at", "group", "original").orderBy(*order))).where("first = 1")
         start = F.col("at")
         out = [
-            *[F.col(c).alias(k) for c, k in zip(own, key, strict=True)], "original", "variation", F.col("word").alias("matched_text"), F.col("line").cast("long").alias("line_number"), (F.col("into") + 1).cast("long").alias("column"),
-            start.cast("long").alias("start_of_word"), (start + F.octet_length("word")).cast("long").alias("end_of_word"), (start + F.col("begin")).cast("long").alias("start_of_match"), (start + F.col("stop")).cast("long").alias("end_of_match"), (start - F.col("into")).cast("long").alias("start_of_line"),
+            *[F.col(c).alias(k) for c, k in zip(own, key, strict=True)], "original", "variation", F.col("word").alias("matched_text"), "line_number", (start - F.col("line_start") + 1).alias("column"),
+            start.alias("start_of_word"), (start + F.octet_length("word")).alias("end_of_word"), (start + F.col("begin")).alias("start_of_match"), (start + F.col("stop")).alias("end_of_match"), F.col("line_start").alias("start_of_line"),
         ]
-        return found.select(*out, *(self._context() if p.context else []))
+        return found.select(*out, *["group"] * bool(routes), *[F.col(f"context.{c}") for c in CONTEXT] * p.context)
+
+    def _candidates(self, tokens: Column) -> Column:
+        """The words of ``tokens`` that may be hits, with those spans of their keys that may be variations.
+
+        Few keys are checked here, so that only hits are placed; many keys wait for the join.
+        """
+        p, a = self.parameters, self.alphabet
+        keys = sorted({self._key_of(k) for k in self.keywords})
+        lengths = sorted({len(k) for k in keys})
+        known = (lambda k: k.isin(keys)) if len(keys) <= LITERAL_KEYS else (lambda k: F.lit(True))
+        whole = p.anchor_beginning and p.anchor_end
+        collapses = a.collapse or p.collapse_mixed
+        # Keys hold word characters only, so runs of others fall out by key; by length most words do before.
+        if not whole or p.collapse_mixed:
+            fits = lambda t: F.length(t) >= lengths[0]
+        else:
+            fits = lambda t: F.length(t).isin(lengths) | F.contains(t, F.lit("--")) if collapses else F.length(t).isin(lengths)
+        words = F.filter(F.transform(tokens, lambda t, i: F.struct(i.alias("pos"), t.alias("word"))), lambda w: fits(w["word"]))
+        if len(keys) > LITERAL_KEYS:
+            words = F.filter(words, lambda w: a.is_word(w["word"]))
+        words = F.transform(words, lambda w: F.struct(w["pos"].alias("pos"), w["word"].alias("word"), self._word_key(w["word"]).alias("key")))
+        empty = F.array().cast("array<struct<from:int,size:int,key:string>>")
+
+        def span(key: Column, size: int):
+            return lambda s: F.struct(s.alias("from"), F.lit(size).alias("size"), F.substr(key, s + 1, F.lit(size)).alias("key"))
+
+        def spans(w: Column) -> Column:
+            n, each = F.length(w["key"]), []
+            for size in lengths:
+                last = n - size
+                starts = F.array(F.lit(0)) if p.anchor_beginning else F.array(last) if p.anchor_end else F.sequence(F.lit(0), last)
+                each.append(F.when(last >= 0, F.filter(F.transform(starts, span(w["key"], size)), lambda x: known(x["key"]))).otherwise(empty))
+            return F.concat(*each)
+
+        def one(w: Column) -> Column:
+            return F.array(F.struct(F.lit(0).alias("from"), F.length(w["key"]).alias("size"), w["key"].alias("key")))
+
+        if whole:
+            words = F.filter(words, lambda w: known(w["key"]))
+        hits = F.transform(words, lambda w: F.struct(w["pos"].alias("pos"), w["word"].alias("word"), F.length(w["key"]).alias("width"), (one if whole else spans)(w).alias("spans")))
+        return hits if whole else F.filter(hits, lambda w: F.size(w["spans"]) > 0)
+
+    def _placed(self, text: Column) -> Column:
+        """The hits in a text with byte offset, line, the line's offset and, if asked for, context.
+
+        What lies between a hit and the one before is joined once, and running sums are nearly linear,
+        so places cost the text's length in all, however many hits there are. Arrays are bound by
+        ``let``: as columns of a projection the optimizer would compute them anew for each element.
+        """
+        long = lambda c: c.cast("long")
+        lines = lambda g: F.length(g) - F.length(F.replace(g, F.lit("\n"), F.lit("")))
+
+        def sizes(tokens: Column, hits: Column) -> Column:
+            last = lambda i: F.when(i == 0, F.lit(-1)).otherwise(F.get(hits, i - 1)["pos"])
+            gaps = F.transform(hits, lambda w, i: let(last(i), lambda p: F.struct(w["word"].alias("word"), F.array_join(F.slice(tokens, p + 2, w["pos"] - p - 1), "").alias("gap"))))
+            return F.transform(gaps, lambda x: F.struct(long(F.octet_length(x["word"])).alias("word"), long(F.octet_length(x["gap"])).alias("gap"), long(lines(x["gap"])).alias("lines"), long(F.octet_length(F.substring_index(x["gap"], "\n", -1))).alias("tail")))
+
+        def scans(size: Column) -> Column:
+            ends = sums(F.transform(size, lambda x: x["gap"] + x["word"]))
+            begun = lambda e: F.transform(size, lambda x, i: F.when(x["lines"] > 0, F.get(e, i) - x["word"] - x["tail"]).otherwise(F.lit(0).cast("long")))
+            return let(ends, lambda e: F.struct(size.alias("size"), e.alias("end"), sums(F.transform(size, lambda x: x["lines"])).alias("lines"), maxima(begun(e)).alias("start")))
+
+        def placed(tokens: Column, hits: Column, scan: Column) -> Column:
+            def place(w: Column, i: Column) -> Column:
+                at = [(F.get(scan["end"], i) - F.get(scan["size"], i)["word"]).alias("at"), (F.get(scan["lines"], i) + 1).alias("line_number"), F.get(scan["start"], i).alias("line_start")]
+                around = [self._context(tokens, w["pos"]).alias("context")] if self.parameters.context else []
+                return F.struct(w["word"].alias("word"), w["width"].alias("width"), w["spans"].alias("spans"), *at, *around)
+
+            return F.transform(hits, place)
+
+        found = lambda t: let(self._candidates(t), lambda h: let(sizes(t, h), lambda z: let(scans(z), lambda s: placed(t, h, s))))
+        return let(self.alphabet.tokens(text), found)
 
     def _is_typo(self) -> Column:
         """Whether a hit is no hit of the term itself."""
@@ -206,21 +241,25 @@ class Search:
         around = F.substring(F.col("word").cast("binary"), F.greatest(F.col("begin"), F.lit(1)), F.col("stop") - F.greatest(F.col("begin") - 1, F.lit(0)) + 1)
         return ~F.contains(F.lower(around.cast("string")), F.col("original"))
 
-    def _context(self) -> list[Column]:
-        """Bytes around the word; a cut character and what is neither letter, number, sign nor line feed become blanks."""
-        p, raw = self.parameters, F.col("text").cast("binary")
+    def _context(self, tokens: Column, pos: Column) -> Column:
+        """Bytes around word ``pos`` of ``tokens``; a cut character and what is neither letter, number, sign
+        nor line feed become blanks. A token has a byte at least: as many tokens as bytes will do, cut short."""
+        p = self.parameters
         most = 4 * p.lines * p.columns if p.lines else p.columns
-        prefix = F.substring(raw, F.lit(1), F.col("at").cast("int")).cast("string")
-        lines = F.substring_index(prefix, "\n", -(p.lines + 1))
-        size = F.octet_length(lines)
-        cut_left = size > most
-        before = F.when(cut_left, F.substring(lines.cast("binary"), size - most + 1, F.lit(most)).cast("string")).otherwise(lines)
-        rest = F.substring(raw, (F.col("at") + F.octet_length("word") + 1).cast("int"), F.octet_length("text")).cast("string")
-        tail = F.substring_index(rest, "\n", p.lines + 1)
-        cut_right = F.octet_length(tail) > most
-        after = F.when(cut_right, F.substring(tail.cast("binary"), F.lit(1), F.lit(most)).cast("string")).otherwise(tail)
+        first = F.greatest(pos - most, F.lit(1))  # of the tokens before, counted from 1
+        near = F.transform(F.slice(tokens, first, pos - first + 1), lambda t: F.right(t, F.lit(most + 1)))
+        left = F.substring_index(F.array_join(near, ""), "\n", -(p.lines + 1))
+        near = F.transform(F.slice(tokens, pos + 2, most + 1), lambda t: F.left(t, F.lit(most + 1)))
+        right = F.substring_index(F.array_join(near, ""), "\n", p.lines + 1)
         clean = lambda c: F.regexp_replace(c, r"[^\p{L}\p{N}\p{P}\p{Sc}\p{Sm}\n]", " ")
-        return [clean(before).alias("context_before"), clean(after).alias("context_after"), cut_left.alias("trimmed_left"), cut_right.alias("trimmed_right")]
+
+        def cut(x: Column) -> Column:
+            n_left, n_right = F.octet_length(x["left"]), F.octet_length(x["right"])
+            before = F.when(n_left > most, F.substring(x["left"].cast("binary"), n_left - most + 1, F.lit(most)).cast("string")).otherwise(x["left"])
+            after = F.when(n_right > most, F.substring(x["right"].cast("binary"), F.lit(1), F.lit(most)).cast("string")).otherwise(x["right"])
+            return F.struct(*[c.alias(name) for c, name in zip((clean(before), clean(after), n_left > most, n_right > most), CONTEXT, strict=True)])
+
+        return let(F.struct(left.alias("left"), right.alias("right")), cut)
 
     def match_permissive(self, spark: SparkSession, texts: list[str]) -> DataFrame:
         """``match`` over strings, a row of ``index`` each."""

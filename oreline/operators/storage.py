@@ -2,23 +2,47 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[tuple[SparkSession, str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a fresh folder where that is unset."""
+    """``spark.checkpoint.dir``. Where that is unset, a session on one machine gets a fresh folder; on a
+    cluster, whose executors could not read it, that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="oreline-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: its lineage is the files alone."""
-    path = f"{shared_folder(df.sparkSession)}/oreline/{uuid.uuid4().hex}"
+def scratch(spark: SparkSession, name: str = "table") -> str:
+    """A fresh path in the shared folder; what is there goes at exit."""
+    path = f"{shared_folder(spark)}/oreline/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: later stages, and retries after a lost
+    executor, start from the files instead of from the whole lineage. The files go at exit."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _remove() -> None:
+    for spark, path in _written:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session is over
+            return

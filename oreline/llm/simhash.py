@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from oreline.llm import jaccard
 from oreline.llm.common import cut, numbered, restored
 from oreline.llm.graph import connected_components
+from oreline.llm.jaccard import node_of, parity, shingle_set
 
 BITS = 64
 #: For documents of a similarity (Jaccard, shingles) of 0.8 or more: bits of a print, radius, bits at
@@ -34,6 +35,8 @@ WIDE_BITS, WIDE_RADIUS, WIDE_ACCEPT = 256, 19, 44
 SIMILARITY = 0.8
 #: Rows of a bucket that one task compares at once; larger buckets are cut into pairs of blocks.
 BLOCK = 2048
+#: Keys of rows that go up to which they are broadcast; beyond, a join by shuffle takes them away.
+SMALL = 1_000_000
 #: What a signature row and a compared pair cost, in microseconds.
 ROW_US, PAIR_US = 3.0, 0.01
 #: Odd factors that make further words of a wide print from a shingle's hash.
@@ -324,17 +327,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "node").select("doc_id", "node", F.col("least.doc_id").alias("component_id"), "component")
 
 
-def _similar(docs: DataFrame, id_: Column, text: Column, width: int, bits: int, radius: int, accept: int, similarity: float) -> DataFrame:
-    """Of each set of shingles (node) its component and the component's least row, as in ``_grouped``.
+def profile_column(text: Column, width: int, bits: int) -> Column:
+    """Of a text's set of shingles: ``node`` (a hash of the set), ``size``, parity ``bits``, and the SimHash of its
+    members as ``print`` (node, fp)."""
+
+    @F.arrow_udf("struct<node:long,size:int,bits:binary,print:struct<node:long,fp:binary>>")
+    def compute(texts: pa.Array) -> pa.Array:
+        sets = [shingle_set(t.as_py(), width) for t in texts]
+        prints = [np.packbits(2 * sum(_bits(_widened(s[at : at + (1 << 14)], bits)).sum(0, np.int64) for at in range(0, len(s), 1 << 14)) > len(s), bitorder="little").tobytes() for s in sets]
+        keys = np.array([xxhash.xxh64_intdigest(x) for x in prints], np.uint64).view(np.int64)
+        shown = pa.StructArray.from_arrays([pa.array(keys), pa.array(prints, pa.binary())], names=["node", "fp"])
+        own = pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([parity(s) for s in sets], pa.binary())
+        return pa.StructArray.from_arrays([*own, shown], names=["node", "size", "bits", "print"])
+
+    return compute(text)
+
+
+def _similar(docs: DataFrame, id_: Column, text: Column, width: int, bits: int, radius: int, accept: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_key, node), and of each set of shingles (node) its component's least row, as in ``_grouped``.
 
     Links are pairs of ``similarity``: print links that hold on whole texts, and the pairs between what
     these connect that an exact join finds.
     """
 
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    rows = docs.select(id_.alias("doc_id"), F.xxhash64(text).alias("text_key"), jaccard.node_column(text, width).alias("node"), fingerprint_column(text, width, bits).alias("print"))
-    rows = cut(rows, "prints")
-    nodes = cut(rows.groupBy("node").agg(F.min(row).alias("least"), F.min("text_key").alias("text_key"), F.min("print").alias("print")), "distinct")
+    rows = docs.select(id_.alias("doc_id"), F.xxhash64(text).alias("text_key"), profile_column(text, width, bits).alias("p"))
+    rows = cut(rows.select("doc_id", "text_key", "p.*"), "prints")
+    nodes = cut(rows.groupBy("node").agg(F.min(row).alias("least"), F.min("text_key").alias("text_key"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.min("print").alias("print")), "distinct")
     prints = cut(nodes.groupBy("print").agg(F.min("node").alias("first")), "different")
     same = nodes.join(prints, "print").where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     texts = docs.select(F.xxhash64(text).alias("text_key"), text.alias("text"))
@@ -348,7 +367,7 @@ def _similar(docs: DataFrame, id_: Column, text: Column, width: int, bits: int,
     found = connected_components(sure.union(more), "a", "b").withColumnRenamed("node", "member")
     least = found.join(nodes, found.member == nodes.node).groupBy("root").agg(F.min("least").alias("least_all"))
     named = nodes.select("node", "least").join(found.join(least, "root"), F.col("node") == F.col("member"), "left")
-    return named.select("node", F.coalesce("root", "node").alias("component"), F.coalesce("least_all", "least").alias("least"))
+    return rows.select("doc_id", "text_key", "node"), named.select("node", F.coalesce("least_all", "least").alias("least"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, bits: int = WIDE_BITS, radius: int = WIDE_RADIUS, accept: int = WIDE_ACCEPT, similarity: float = SIMILARITY) -> DataFrame:
@@ -360,11 +379,20 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     docs, names = numbered(docs)
     id_, text = F.col(names[id_col]), F.col(names[text_col])
-    named = _similar(docs, id_, text, width, bits, radius, accept, similarity)
-    chosen = named.select("least.doc_id", F.col("least.text_key").alias("text_key")).distinct()
-    chosen = chosen.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id_key"), "text_key")
-    docs = docs.withColumn("id_key", F.coalesce(id_.cast("string"), F.lit(""))).withColumn("text_key", F.xxhash64(text))
-    return restored(docs.join(chosen, ["id_key", "text_key"], "left_semi").dropDuplicates(["id_key", "text_key"]), names)
+    rows, named = _similar(docs, id_, text, width, bits, radius, accept, similarity)
+    # What goes is decided on keys: texts move only where a key that stays has several rows.
+    keys = rows.groupBy("doc_id", "text_key", "node").agg((F.count("*") > 1).alias("again")).join(named, "node")
+    stays = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("text_key") == F.col("least.text_key"))
+    gone = cut(keys.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "again", stays.alias("stays")).where("again or not stays"), "gone")
+    n = gone.count()
+    side = lambda x: F.broadcast(x) if n <= SMALL else x
+    own = lambda x: id_.eqNullSafe(x["_id"]) & (F.xxhash64(text) == x["_key"])
+    kept = docs.join(side(gone), own(gone), "left_anti")
+    several = gone.where("stays").select("_id", "_key")
+    if not several.isEmpty():
+        one = docs.join(side(several), own(several)).dropDuplicates(["_id", "_key"]).drop("_id", "_key")
+        kept = kept.unionByName(one)
+    return restored(kept, names)
 
 
 def hex_print(c: Column) -> Column:

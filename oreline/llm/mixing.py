@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from oreline.llm.common import cut, n_words
+from oreline.llm.common import cut, n_words, numbered, restored
 
 #: No source is repeated more often than this.
 PASSES = 3
@@ -30,9 +30,11 @@ def ranked(df: DataFrame, col: str, name: str) -> DataFrame:
     order = F.col(col).asc_nulls_last()
     parts = cut(df.repartitionByRange(n, order).withColumn("_part", F.spark_partition_id()), "ranges")
     sizes = parts.groupBy("_part").count()
-    other = sizes.select(F.col("_part").alias("_other"), F.col("count").alias("_n"))
-    # A row per range on either side, not of data: their number is fixed by n.
-    before = sizes.join(F.broadcast(other), F.col("_other") < F.col("_part"), "left").groupBy("_part").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_before"))
+    at, before = 0, []
+    for part, count in sorted(sizes.collect()):  # a row a range: as many as shuffle partitions
+        before.append((part, at))
+        at += count
+    before = df.sparkSession.createDataFrame(before, "_part int, _before long")
     own = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
     return parts.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")
 
@@ -72,62 +74,100 @@ def _invert(q: Column, kind: Column, schedules: tuple[tuple[float, float, float]
     return out
 
 
-def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per row of ``docs``: doc_id, source, size, source_size, target, kind, before (words of its source
-    ahead of it in the fixed order) and the columns ``keep``.
+def _passed(t: Column, schedule: tuple[float, float, float]) -> Column:
+    """The share of a source's demand that has passed at training time ``t``: what ``_invert`` inverts."""
+    a, b, c = schedule
+    first, all_, u = (a + b) / 4, (a + 2 * b + c) / 4, t - 0.5
+    return F.when(t <= 0.5, (a * t + (b - a) * t * t) / all_).otherwise((first + b * u + (c - b) * u * u) / all_)
 
-    Size is the number of words, 0 for null. The order within a source is that of a hash of id and
-    text, so reruns agree; rows equal in both are interchangeable. Its first three hex digits cut a
-    source into 4096 slots that are summed and ordered apart. Empty tables give no rows.
-    """
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
-        F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))).alias("place"), *keep,
-    )
-    rows = rows.withColumn("slot", F.conv(F.substring("place", 1, 3), 16, 10).cast("int"))
-    rows = rows if keep else cut(rows, "sizes")  # wide rows are computed again rather than stored
+
+def position(begin: Column, demand: dict[int, int], schedules: tuple[tuple[float, float, float], ...]) -> Column:
+    """The training position, in words of the mix, at which word ``begin`` of a source's demand (columns target,
+    kind) is due. demand: words of all sources of a kind."""
+    t = _invert(begin / F.col("target"), F.col("kind"), schedules)
+    return sum((float(demand.get(k, 0)) * _passed(t, x) for k, x in enumerate(schedules)), F.lit(0.0))
+
+
+def _key(id_: Column, text: Column) -> Column:
+    """A hash of id and text, in hex: the fixed pseudo-random order within a source."""
+    return F.md5(F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+
+
+def _slot(place: Column) -> Column:
+    return F.conv(F.substring(place, 1, 3), 16, 10).cast("int")
+
+
+def _slots(rows: DataFrame, weights: tuple[int, ...], passes: int) -> DataFrame:
+    """Of each source and slot of ``rows`` (source, slot, size): slot_size, the words ``ahead`` of it, and its source's
+    source_size, target and kind. Sources times 4096 rows at most."""
     slots = cut(rows.groupBy("source", "slot").agg(F.sum("size").alias("slot_size")), "slots")
     source = targets(slots.groupBy("source").agg(F.sum("slot_size").alias("source_size")), weights, passes)
     ahead = F.sum("slot_size").over(Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    slots = slots.withColumn("ahead", ahead - F.col("slot_size")).drop("slot_size")
+    slots = slots.withColumn("ahead", ahead - F.col("slot_size"))
     slots = slots.join(source.select(F.col("source").alias("_s"), "source_size", "target", "kind"), F.col("source").eqNullSafe(F.col("_s")))
-    slots = slots.select(F.col("source").alias("_s"), F.col("slot").alias("_t"), "ahead", "source_size", "target", "kind")
-    own = F.sum("size").over(Window.partitionBy("source", "slot").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("own", own - F.col("size")).join(slots, F.col("source").eqNullSafe(F.col("_s")) & (F.col("slot") == F.col("_t")))
-    return rows.withColumn("before", F.col("ahead") + F.col("own")).drop("_s", "_t", "slot", "own", "ahead", "place")
+    return cut(slots.select(F.col("source").alias("_s"), F.col("slot").alias("_t"), "slot_size", "ahead", "source_size", "target", "kind"), "places")
+
+
+def _demand(slots: DataFrame) -> dict[int, int]:
+    """Words that all sources of a kind give, in whole words a source."""
+    one = slots.groupBy("_s").agg(F.first("kind").alias("kind"), F.floor(F.first("target")).alias("goal"))
+    return {int(k): int(n) for k, n in one.groupBy("kind").agg(F.sum("goal")).collect()}
 
 
-def digest(planned: DataFrame, schedules: tuple[tuple[float, float, float], ...] = SCHEDULES) -> DataFrame:
-    """``plan`` with ``taken`` words per document and its first ``position``, range-sorted by position.
+def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", schedules: tuple[tuple[float, float, float], ...] = SCHEDULES) -> DataFrame:
+    """Per row of ``docs``: doc_id, source, size, source_size, target, kind, before (words of its source ahead of it
+    in the fixed order), ``taken`` words and its first ``position``, range-sorted by position.
 
-    The source is read from its start again and again until the target is met; the document that
-    meets it gives only the words still missing. Documents that give none come last, without position.
+    Size is the number of words, 0 for null. The order within a source is that of a hash of id and
+    text, so reruns agree; rows equal in both are interchangeable. The hash's first three hex digits
+    cut a source into 4096 slots that are summed and ordered apart. The source is read from its start
+    again and again until the target is met; the document that meets it gives only the words still
+    missing. Documents that give none come last, without position. Empty tables give no rows.
     """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), _key(F.col(id_col), F.col(text_col)).alias("place"))
+    rows = cut(rows.withColumn("slot", _slot(F.col("place"))), "sizes")
+    slots = _slots(rows, weights, passes)
+    demand = _demand(slots)
+    own = F.sum("size").over(Window.partitionBy("source", "slot").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("own", own - F.col("size")).join(slots, F.col("source").eqNullSafe(F.col("_s")) & (F.col("slot") == F.col("_t")))
+    rows = rows.withColumn("before", F.col("ahead") + F.col("own"))
     goal = F.floor("target")
     passed = F.floor(goal / F.greatest(F.col("source_size"), F.lit(1)))
     rest = F.least(F.greatest(goal - passed * F.col("source_size") - F.col("before"), F.lit(0)), F.col("size"))
-    taken = (passed * F.col("size") + rest).cast("long")
-    position = F.when(F.col("taken") > 0, _invert(F.col("before") / F.col("target"), F.col("kind"), schedules))
-    return planned.withColumn("taken", taken).withColumn("position", position).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    rows = rows.withColumn("taken", (passed * F.col("size") + rest).cast("long"))
+    rows = rows.withColumn("position", F.when(F.col("taken") > 0, position(F.col("before"), demand, schedules)))
+    rows = rows.select("doc_id", "source", "size", "source_size", "target", "kind", "before", "taken", "position")
+    return rows.orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+#: Rows of the slot table up to which it is broadcast (about 64 bytes each).
+SMALL = 500_000
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, schedules: tuple[tuple[float, float, float], ...] = SCHEDULES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The training mix: whole rows of ``docs``, each as often as its source's target asks for, in the
     order of training positions.
 
-    A document is taken in a pass if its first word there comes before the target; so a source
-    exceeds its target by less than its last document, and only wordless sources give nothing.
+    Rows move once, to be range-sorted: where a document stands in its slot (a 4096th of its source) is
+    read from its hash instead of from those before it. It is taken in a pass if it begins before the
+    target there, so a source meets its target up to a document or a slot. Documents without words
+    give nothing, null texts neither; repeated rows stand together; an empty table gives no rows.
     """
-    kept = "_oreline_row"
-    rows = docs.withColumn(kept, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    found = plan(rows, weights, passes, id_col, text_col, source_col, keep=(kept,))
+    docs, names = numbered(docs)
+    id_, text, source = F.col(names[id_col]), F.col(names[text_col]), F.col(names[source_col])
+    sized = docs.select(source.alias("source"), n_words(text).alias("size"), _slot(_key(id_, text)).alias("slot"))
+    slots = _slots(sized, weights, passes)
+    demand = _demand(slots)
+    slots = F.broadcast(slots) if slots.count() <= SMALL else slots
+    share = F.conv(F.substring("place", 4, 7), 16, 10).cast("long") / F.lit(float(1 << 28))
+    rows = docs.where(n_words(text) > 0).withColumn("place", _key(id_, text)).withColumn("slot", _slot(F.col("place")))
+    rows = rows.join(slots, source.eqNullSafe(F.col("_s")) & (F.col("slot") == F.col("_t")))
+    rows = rows.withColumn("before", F.col("ahead") + F.floor(share * F.col("slot_size")))
     starts = F.transform(F.sequence(F.lit(0), F.lit(passes - 1)), lambda e: e * F.col("source_size") + F.col("before"))
     goes = F.filter(starts, lambda b: b < F.floor("target"))
-    found = found.where("size > 0").select(kept, "target", "kind", "doc_id", F.explode(goes).alias("begin"))
-    found = found.withColumn("position", _invert(F.col("begin") / F.col("target"), F.col("kind"), schedules))
-    return found.orderBy("position", "doc_id").select(f"{kept}.*")
-
-
+    rows = rows.select(*names.values(), "target", "kind", F.explode(goes).alias("begin"))
+    rows = rows.withColumn("position", position(F.col("begin"), demand, schedules)).orderBy("position", names[id_col])
+    return restored(rows, names)
 
 
 ORACLE = r"""
@@ -157,13 +197,21 @@ placed AS (
   SELECT doc_id, r.source, size, source_size, kind, target, floor(target)::BIGINT AS goal,
          (sum(size) OVER (PARTITION BY r.source ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT - size AS before
   FROM rows r JOIN goals g ON r.source IS NOT DISTINCT FROM g.source),
+demand AS (
+  SELECT coalesce(sum(floor(target)::BIGINT) FILTER (WHERE kind = 0), 0)::DOUBLE AS d0, coalesce(sum(floor(target)::BIGINT) FILTER (WHERE kind = 1), 0)::DOUBLE AS d1,
+         coalesce(sum(floor(target)::BIGINT) FILTER (WHERE kind = 2), 0)::DOUBLE AS d2 FROM goals),
 given AS (
   SELECT *, (goal // greatest(source_size, 1) * size + least(greatest(goal - goal // greatest(source_size, 1) * source_size - before, 0), size))::BIGINT AS taken,
          [1.5, 1.0, 0.5][kind + 1]::DOUBLE AS a, 1.0::DOUBLE AS b, [0.5, 1.0, 1.5][kind + 1]::DOUBLE AS c,
          before::DOUBLE / target * ((a + 2 * b + c) / 4) AS d, (a + b) / 4 AS half
-  FROM placed)
-SELECT doc_id, source, size, source_size, target, taken,
-       CASE WHEN taken > 0 THEN CASE WHEN d <= half THEN 2 * d / (a + sqrt(greatest(a * a + 4 * (b - a) * d, 0)))
-            ELSE 0.5 + 2 * (d - half) / (b + sqrt(greatest(b * b + 4 * (c - b) * (d - half), 0))) END END AS position
-FROM given
+  FROM placed),
+timed AS (
+  SELECT *, CASE WHEN d <= half THEN 2 * d / (a + sqrt(greatest(a * a + 4 * (b - a) * d, 0)))
+            ELSE 0.5 + 2 * (d - half) / (b + sqrt(greatest(b * b + 4 * (c - b) * (d - half), 0))) END AS t
+  FROM given)
+SELECT doc_id, source, size, source_size, target, taken, CASE WHEN taken > 0 THEN
+       CASE WHEN t <= 0.5 THEN d0 * (1.5::DOUBLE * t + (-0.5)::DOUBLE * t * t) + d1 * (1.0::DOUBLE * t + 0.0::DOUBLE * t * t) + d2 * (0.5::DOUBLE * t + 0.5::DOUBLE * t * t)
+       ELSE d0 * (0.625::DOUBLE + 1.0::DOUBLE * (t - 0.5) + (-0.5)::DOUBLE * (t - 0.5) * (t - 0.5)) + d1 * (0.5::DOUBLE + 1.0::DOUBLE * (t - 0.5) + 0.0::DOUBLE * (t - 0.5) * (t - 0.5))
+          + d2 * (0.375::DOUBLE + 1.0::DOUBLE * (t - 0.5) + 0.5::DOUBLE * (t - 0.5) * (t - 0.5)) END END AS position
+FROM timed, demand
 """

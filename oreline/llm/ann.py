@@ -1,14 +1,16 @@
 """Nearest neighbours by inner product: an inverted file of coarse centroids whose lists hold
 product-quantised residuals, asymmetric distance tables, and exact reranking.
 
-Codebooks are fitted on a bounded sample; every row is indexed. Lists are cut into blocks of a
-bounded number of rows, so a hot list spreads over tasks, and queries go to the blocks of the lists
-they probe.
+Codebooks are fitted on a bounded sample; every row is indexed. Copies of a vector are one entry, with
+its least ids. Lists grow with the root of the rows; how many a query probes is measured on the
+sample. Lists are dealt to groups of a bounded number of codes, hot ones to several; a query goes to
+each group that has lists it probes, and streams past the codes there. Original vectors are read
+again only for the entries that the codes leave.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,11 +20,13 @@ from pyspark.sql import functions as F
 
 from oreline.llm.common import cut
 
-#: Rows that codebooks are fitted on (those of least hash of the id), coarse centroids, lists that a
-#: query probes, parts of a vector, codes of a part, rows of a block, candidates of a block that
-#: are scored exactly at first; all rows that may be as good by the error of their codes follow.
-SAMPLE, LISTS, PROBES, PARTS, CODES, BLOCK, RERANK = 16_384, 64, 48, 16, 256, 8_192, 100
-
+#: Rows that codebooks are fitted on (those of least hash), most lists, parts of a vector, codes of a
+#: part, codes of a group, entries of a query that are scored exactly (more where codes tie).
+SAMPLE, LISTS, PARTS, CODES, BLOCK, RERANK = 16_384, 4_096, 16, 256, 16_384, 512
+#: Share of a query's best in the sample that must lie in the lists it probes, and queries that measure it.
+RECALL, MEASURED = 0.98, 512
+#: Deviations of the codes' error that an entry may fall short of the best of the sample.
+MARGIN = 3.0
 
 @dataclass
 class Index:
@@ -42,8 +46,11 @@ class Index:
         return np.argsort(-(q @ self.coarse.T), 1, kind="stable")[:, :n]
 
     def tables(self, q: np.ndarray) -> np.ndarray:
-        """Inner products of a query's parts with every code."""
-        return np.einsum("mcd,md->mc", self.books, q.reshape(self.books.shape[0], -1))
+        """Inner products of the parts of queries with every code: query x part x code."""
+        return np.einsum("mcd,qmd->qmc", self.books, q.reshape(len(q), self.books.shape[0], -1), optimize=True).astype(np.float32)
+
+    def decoded(self, code: np.ndarray, of: np.ndarray) -> np.ndarray:
+        return self.coarse[of] + np.concatenate([b[code[:, m]] for m, b in enumerate(self.books)], 1)
 
 
 def kmeans(v: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -60,7 +67,7 @@ def kmeans(v: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray
     return centre
 
 
-def fit(sample: np.ndarray, lists: int = LISTS, parts: int = PARTS, codes: int = CODES) -> Index:
+def fit(sample: np.ndarray, lists: int, parts: int = PARTS, codes: int = CODES) -> Index:
     coarse = kmeans(sample, lists)
     index = Index(coarse, np.zeros((parts, 1, sample.shape[1] // parts)))
     rest = (sample - coarse[index.lists(sample)]).reshape(len(sample), parts, -1)
@@ -78,73 +85,121 @@ def _matrix(column: pa.ListArray, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
 
 
-def _search_blocks(index: Index, size: int, top: int, rerank: int):
-    def best(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
-        """Of a block: each query's candidates by approximate score, reranked exactly."""
-        ask = rows["query"] > 0
-        v, ids = rows["v"][~ask], rows["id"][~ask]
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if not len(v) or not ask.any():
-            return ()
-        code = index.encode(v, np.full(len(v), rows["list"][0]))
-        flat = code.astype(np.int64) + np.arange(code.shape[1]) * index.books.shape[1]
-        centre, parts = index.coarse[rows["list"][0]], code.shape[1]
-        decoded = np.stack([index.books[m][code[:, m]] for m in range(parts)], 1)
-        error = np.sqrt((((v - centre).reshape(len(v), parts, -1) - decoded) ** 2).sum(2))
-        size_of = np.sqrt((v**2).sum(1))
-        for q, own in zip(rows["v"][ask], rows["id"][ask], strict=True):
-            rough = index.tables(q).ravel()[flat].sum(1) + centre @ q
-            rough[ids == own] = -np.inf  # a query is no neighbour of its own
-            near = np.argpartition(-rough, rerank)[:rerank] if len(rough) > rerank else np.arange(len(rough))
-            if len(rough) > rerank:  # whatever may reach the last of the best so far: by how much codes can be off
-                first = (v[near] * q).sum(1)
-                first[ids[near] == own] = -np.inf
-                reach = np.partition(-first, min(top, len(first)) - 1)[min(top, len(first)) - 1]
-                off = error @ np.sqrt((q.reshape(parts, -1) ** 2).sum(1))
-                slack = 1e-9 * (size_of.max() + np.sqrt(centre @ centre)) * np.sqrt(q @ q)
-                near = np.flatnonzero(rough + off >= -reach - slack)
-            near = near[ids[near] != own]
-            exact = np.concatenate([np.zeros(0), *((v[near[i : i + BLOCK]] * q).sum(1) for i in range(0, len(near), BLOCK))])
-            if len(near) > top:  # keep all that tie with the last
-                last = np.partition(-exact, top - 1)[top - 1]
-                near, exact = near[-exact <= last], exact[-exact <= last]
-            order = np.lexsort((ids[near], -exact))[:top]
-            out.append((np.full(len(order), own), ids[near][order], exact[order]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+def probes_for(index: Index, sample: np.ndarray, top: int, recall: float = RECALL) -> int:
+    """The least number of lists whose probing finds ``recall`` of the exact best of held queries in the sample."""
+    asked = sample[: min(MEASURED, len(sample))]
+    of, place = index.lists(sample), np.empty((len(asked), len(index.coarse)), np.int64)
+    np.put_along_axis(place, index.probes(asked, len(index.coarse)), np.arange(len(index.coarse))[None], 1)
+    score = asked @ sample.T
+    np.fill_diagonal(score, -np.inf)
+    k = min(top, len(sample) - 1)
+    if k < 1:
+        return len(index.coarse)
+    best = np.argpartition(-score, k - 1, 1)[:, :k]
+    need = np.sort(np.take_along_axis(place, of[best], 1).ravel())
+    return int(need[min(len(need) - 1, int(np.ceil(recall * len(need))))]) + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(parts: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            if found := best({k: np.concatenate([p[k] for p in parts]) for k in parts[0]}):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
 
-        held: list[dict[str, np.ndarray]] = []
+def _grouped(start: Callable, answer: Callable, names: list[str]):
+    """For ``mapInArrow`` over rows sorted by group and kind: ``start`` makes a state of a group's entries (kind 0),
+    to which ``answer`` gives each batch of its queries (kind 1). Queries are never held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, state = None, [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("list", "block", "query", "id")} | {"v": _matrix(batch.column("v"), size)}
-            turn = np.flatnonzero((np.diff(now["list"]) != 0) | (np.diff(now["block"]) != 0)) + 1
-            starts = [0, *turn.tolist(), batch.num_rows]
+            now = np.stack([batch.column(c).to_numpy() for c in ("group", "kind")])
+            starts = [0, *(np.flatnonzero((now[:, 1:] != now[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
             for i, j in zip(starts[:-1], starts[1:], strict=True):
-                part = {k: x[i:j] for k, x in now.items()}
-                if held and (held[-1]["list"][0], held[-1]["block"][0]) != (part["list"][0], part["block"][0]):
-                    yield from emit(held)
-                    held = []
-                held.append(part)
-        if held:
-            yield from emit(held)
+                if now[0, i] != group:
+                    group, held, state = now[0, i], [], None
+                if now[1, i] == 0:
+                    held.append(batch.slice(i, j - i))
+                elif held:
+                    state = start(pa.Table.from_batches(held).combine_chunks()) if state is None else state
+                    for at in range(i, j, 128):
+                        found = answer(state, batch.slice(at, min(128, j - at)))
+                        if found is not None and len(found[0]):
+                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=names)
 
     return run
 
 
+def _unpacked(column: pa.Array, kind: type) -> np.ndarray:
+    return np.stack([np.frombuffer(x, kind) for x in column.to_pylist()])
+
+
+def _codes(shared, rerank: int):
+    """Search of codes: entries (list, id, code), queries (id, v, least, lists)."""
+
+    def start(rows: pa.Table) -> tuple:
+        order = np.argsort(of := rows["list"].to_numpy(), kind="stable")
+        code, ids = _unpacked(rows["code"], np.uint8)[order], rows["id"].to_numpy()[order]
+        lists, first = np.unique(of[order], return_index=True)
+        return code, ids, {int(x): (int(a), int(b)) for x, a, b in zip(lists, first, [*first[1:], len(of)], strict=True)}
+
+    def answer(state: tuple, asked: pa.RecordBatch) -> list[np.ndarray] | None:
+        code, ids, where = state
+        index: Index = shared.value
+        q, least, own = _unpacked(asked.column("v"), np.float64), asked.column("least").to_numpy(), asked.column("id").to_numpy()
+        probed: dict[int, list[int]] = {}
+        for k, lists in enumerate(asked.column("lists").to_pylist()):
+            for x in np.frombuffer(lists, np.int32).tolist():
+                probed.setdefault(x, []).append(k)
+        table, centred = index.tables(q), q @ index.coarse.T
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for x, ks in probed.items():
+            if x in where:
+                a, b = where[x]
+                score = np.repeat(centred[ks, x].astype(np.float32)[:, None], b - a, 1)
+                for m in range(code.shape[1]):
+                    score += table[ks, m][:, code[a:b, m]]
+                i, j = np.nonzero(score >= least[ks][:, None])
+                out.append((np.array(ks)[i], ids[a:b][j], score[i, j]))
+        if not out:
+            return None
+        k, found, score = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.lexsort((-score, k))
+        k, found, score = k[order], found[order], score[order]
+        begin = np.searchsorted(k, np.arange(len(own)))  # of each query; what ties with the last stays
+        last = np.minimum(begin + rerank, np.append(begin[1:], len(k))) - 1
+        keep = score >= score[np.maximum(last, 0)][k]
+        return [own[k[keep]], found[keep], score[keep].astype(np.float64)]
+
+    return _grouped(start, answer, ["query", "id", "rough"])
+
+
+def _exact():
+    """Scores of original vectors: entries (id, v), queries (id, v, wanted)."""
+
+    def start(rows: pa.Table) -> tuple:
+        order = np.argsort(ids := rows["id"].to_numpy())
+        return ids[order], _unpacked(rows["v"], np.float64)[order]
+
+    def answer(state: tuple, asked: pa.RecordBatch) -> list[np.ndarray]:
+        ids, v = state
+        out = []
+        for own, q, wanted in zip(asked.column("id").to_numpy(), _unpacked(asked.column("v"), np.float64), asked.column("wanted").to_pylist(), strict=True):
+            wanted = np.array(wanted, np.int64)
+            score = np.concatenate([(v[np.searchsorted(ids, wanted[at : at + BLOCK])] * q).sum(1) for at in range(0, len(wanted), BLOCK)])
+            out.append((np.full(len(wanted), own), wanted, score))
+        return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+    return _grouped(start, answer, ["query", "id", "score"])
+
+
 def nearest(
-    vectors: DataFrame, every: int = 20, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, lists: int = LISTS, probes: int = PROBES, parts: int = PARTS, rerank: int = RERANK
+    vectors: DataFrame, every: int = 20, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, lists: int | None = None, probes: int | None = None, parts: int = PARTS, rerank: int = RERANK
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``top`` nearest found of each row whose id ``every`` divides.
 
     Score is the inner product in double precision on the original vectors; ties go to the smaller
-    id. Rows with null ids, and vectors that are null, zero, of another length than the first, or
+    id. Rows with null ids, and vectors that are null, zero, of another length than most, or
     hold null or non-finite components, take no part. Rows that repeat an id are candidates each,
-    but not of a query with that id. Empty tables give no rows.
+    but not of a query with that id. Empty tables give no rows. lists, probes: by default as many as
+    the root of the rows, and as many as ``RECALL`` takes. Entries go by a hash of their vector (n
+    share some with chance n * n / 2**65).
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null")
@@ -153,35 +208,84 @@ def nearest(
     if some is None:
         return empty
     size = some[0]
-    rows = rows.where(usable(F.col("v"), size))
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()["v"]
-    if not len(picked):
+    rows = rows.where(usable(F.col("v"), size)).withColumn("node", F.xxhash64("v"))
+    same = Window.partitionBy("node").orderBy("id")
+    # Of the copies of a vector a query sees the least ids only; ids of queries stay all.
+    copies = rows.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= 2 * top + 1)
+    copies = cut(copies.select("node", "id", "nth", F.when(F.col("nth") == 1, F.col("v")).alias("v")), "copies")
+    entries = copies.where("nth = 1").select(F.col("node").alias("id"), "v")
+    n = entries.count()
+    if not n:
         return empty
-    index = fit(np.stack(list(picked)), lists, parts if size % parts == 0 else 1)
-    shared = spark.sparkContext.broadcast(index)
+    picked = np.stack(list(entries.orderBy("id").limit(sample).select("v").toPandas()["v"]))  # ids of entries are hashes
+    index = fit(picked, min(lists or int(np.sqrt(n)) + 1, LISTS, len(picked)), parts if size % parts == 0 else 1)
+    probes = probes or probes_for(index, picked, top)
+    of = index.lists(picked)
+    asked = picked[:MEASURED]
+    error = float((asked @ (picked - index.decoded(index.encode(picked, of), of)).T).std())
+    shared, known = spark.sparkContext.broadcast(index), spark.sparkContext.broadcast(picked)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = _matrix(batch.column(1), size)
             of = shared.value.lists(v) if len(v) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(of), batch.column(1)], names=["id", "list", "v"])
+            code = shared.value.encode(v, of) if len(v) else np.zeros((0, 1), np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(of.astype(np.int32)), pa.array([x.tobytes() for x in code], pa.binary()), pa.array([x.tobytes() for x in v], pa.binary())], names=["id", "list", "code", "v"])
 
-    placed = cut(rows.mapInArrow(place, "id long, list long, v array<double>"), "lists")
+    placed = cut(entries.mapInArrow(place, "id long, list int, code binary, v binary"), "lists")
     counts = {r[0]: r[1] for r in placed.groupBy("list").count().collect()}  # at most one row a list
-    blocks = F.element_at(F.array(*[F.lit(-(-counts.get(k, 0) // BLOCK) or 1) for k in range(len(index.coarse))]), (F.col("list") + 1).cast("int"))
-    home = placed.select("list", F.pmod(F.xxhash64("id", F.lit(3)), blocks).alias("block"), F.lit(0).alias("query"), "id", "v")
+    first, blocks, at, room = [], [], -1, 0
+    for k in range(len(index.coarse)):  # lists in turn share a group up to BLOCK codes; a longer one has several
+        c = counts.get(k, 0)
+        if c > room or at < 0:
+            at, room = at + (blocks[-1] if blocks and first[-1] == at else 1), BLOCK
+        first.append(at)
+        blocks.append(max(1, -(-c // BLOCK)))
+        room = room - c if c <= BLOCK else 0
+    literal = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), F.col("list") + 1)
+    group = (literal(first) + F.pmod(F.xxhash64("id", F.lit(3)), literal(blocks))).cast("int")
+    placed = placed.withColumn("group", group)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin, many = np.array(first), np.array(blocks)
         for batch in batches:
-            v = _matrix(batch.column(1), size)
-            of = shared.value.probes(v, probes)
-            at = np.repeat(np.arange(len(v)), of.shape[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(of.ravel()), batch.column(1).take(pa.array(at))], names=["id", "list", "v"])
-
-    asked = placed.where(F.col("id") % every == 0).select("id", "v").mapInArrow(ask, "id long, list long, v array<double>")
-    asked = asked.select("list", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.lit(1).alias("query"), "id", "v")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    both = home.unionByName(asked).repartition(n, "list", "block").sortWithinPartitions("list", "block")
-    found = both.mapInArrow(_search_blocks(index, size, top, rerank), "query_id long, vec_id long, score double")
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                q = _unpacked(part.column(1), np.float64)
+                score = q @ known.value.T
+                k = min(top, score.shape[1])
+                # Some of the best may be the query's own: one more makes sure.
+                least = -np.partition(-score, k, 1)[:, k] - MARGIN * error if score.shape[1] > k else np.full(len(q), -np.inf)
+                out: list[tuple] = []
+                for own, v, low, of in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), least.tolist(), shared.value.probes(q, probes), strict=True):
+                    goes: dict[int, list[int]] = {}
+                    for x in of.tolist():
+                        for g in range(begin[x], begin[x] + many[x]):
+                            goes.setdefault(g, []).append(x)
+                    out += [(g, own, v, low, np.array(xs, np.int32).tobytes()) for g, xs in goes.items()]
+                if out:
+                    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.float64(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["group", "id", "v", "least", "lists"])
+
+    queries = rows.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "node")
+    queries = cut(queries, "queries")
+    asking = cut(placed.join(queries.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select("id", "v"), "asking")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+
+    def dealt(one: DataFrame, other: DataFrame) -> DataFrame:
+        both = one.withColumn("kind", F.lit(0)).unionByName(other.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+        return both.repartition(tasks, "group").sortWithinPartitions("group", "kind")
+
+    sent = asking.mapInArrow(ask, "group int, id long, v binary, least double, lists binary")
+    rough = dealt(placed.select("group", "id", "list", "code"), sent).mapInArrow(_codes(shared, rerank), "query long, id long, rough double")
+    best = rough.withColumn("place", F.rank().over(Window.partitionBy("query").orderBy(F.desc("rough")))).where(F.col("place") <= rerank).select("query", "id")
+    best = best.join(placed.select("id", "group"), "id").groupBy("query", "group").agg(F.collect_list("id").alias("wanted"))
+    wanted = best.join(asking.select(F.col("id").alias("query"), "v"), "query").select("group", F.col("query").alias("id"), "v", "wanted")
+    exact = dealt(placed.select("group", "id", "v"), wanted).mapInArrow(_exact(), "query long, id long, score double")
+
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    ids = copies.select(F.col("node").alias("id"), F.col("id").alias("vec_id"))
+    each = exact.join(ids, "id").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= 2 * top + 1)
+    found = queries.join(each, F.col("node") == F.col("query")).where("vec_id != query_id").select("query_id", "vec_id", "score")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -1,9 +1,12 @@
 """Personal data by candidate generation and gradient boosting, in DataFrame functions only.
 
-Strict patterns give the base spans. Wider generators propose overlapping candidates; boosted trees
-score them by format and context. The trees are fitted on counts of feature cells over all rows
-(what a base span confirms is positive), so the driver sees at most one row per cell; thresholds are
-set per kind on cells of held-out documents.
+Strict patterns give the base spans. Wider generators propose overlapping candidates. What is known of
+a candidate is held apart: a check of its content (Luhn sum, octets, digits, top-level name) that
+random text passes with a known chance is the label, and shape and context are the features. Boosted
+trees learn how often candidates of a shape and context pass; where that is far above chance, those
+that pass are personal data, whatever the base patterns say. Trees are fitted on counts of feature
+cells over all rows, so the driver sees at most one row per cell; thresholds are set per kind on
+cells of held-out documents.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from oreline.functions.arrays import let, maxima, sums
 from oreline.llm.common import cut
 
 KINDS = ("email", "ip", "card", "phone")
@@ -37,7 +41,12 @@ WIDE = {
 HINT = {"email": "@|at", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]"}
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _WORDS = "(?:tel|phone|call|fax|mobile|mail|contact|write|card|visa|pay|ip|addr|host|server|from)[ .:=]*$"
-FEATURES = ("kind", "digits", "signs", "plus", "parens", "luhn", "octets", "before", "after", "word")
+FEATURES = ("kind", "digits", "signs", "plus", "parens", "before", "after", "word", "upper", "alone")
+#: How often a candidate of each kind passes its check by chance, and last labels that mail domains have.
+CHANCE = (0.05, 0.3, 0.1, 0.3)
+#: Held-out candidates whose rate is judged at once.
+POOL = 10
+_TOP = r"(?i)(?:com|org|net|edu|gov|info|biz|io|dev|app|de|fr|es|uk|it|nl|eu|us|ca|ch|at|se|no|pl|pt|br|jp|cn|in|au)$"
 
 
 def luhn(digits: Column) -> Column:
@@ -50,20 +59,15 @@ def located(text: Column, pattern: str, hint: str) -> Column:
     """Matches of a pattern with code point offsets: array of (start, end, hit, before, after); before
     and after are up to 16 characters since or until the next match."""
     kind = "array<struct<start:long,end:long,hit:string,before:string,after:string>>"
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.split(text, pattern, -1)
-    zipped = F.arrays_zip(parts.alias("part"), hits.alias("hit"), F.slice(parts, 2, 1 << 30).alias("rest"))
-    zipped = F.filter(zipped, lambda z: z["hit"].isNotNull())
 
-    def step(acc: Column, z: Column) -> Column:
-        start = acc["at"] + F.length(z["part"])
-        end = start + F.length(z["hit"])
-        one = F.struct(start.alias("start"), end.alias("end"), z["hit"].alias("hit"), F.right(z["part"], F.lit(16)).alias("before"), F.left(z["rest"], F.lit(16)).alias("after"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def of(x: Column) -> Column:
+        hits, parts = x["hits"], x["parts"]
+        ends = sums(F.transform(hits, lambda h, i: (F.length(F.get(parts, i)) + F.length(h)).cast("long")))
+        one = lambda h, e, i: F.struct((e - F.length(h)).alias("start"), e.alias("end"), h.alias("hit"), F.right(F.get(parts, i), F.lit(16)).alias("before"), F.left(F.get(parts, i + 1), F.lit(16)).alias("after"))
+        return let(ends, lambda e: F.transform(hits, lambda h, i: one(h, F.get(e, i), i)))
 
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("out"))
-    found = F.aggregate(zipped, empty, step, lambda acc: acc["out"])
-    return F.when(text.rlike(hint) & text.rlike(pattern), found).otherwise(F.array().cast(kind))
+    found = let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("parts")), of)
+    return F.when(text.rlike(hint) & text.rlike(pattern), found.cast(kind)).otherwise(F.array().cast(kind))
 
 
 def digits(hit: Column) -> Column:
@@ -91,23 +95,35 @@ def base_spans(text: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Array of (start, order, end, features) that the wide generators propose."""
+    """Array of (start, order, end, passes, features) that the wide generators propose."""
 
     def of(k: int, kind: str) -> Column:
-        return F.transform(located(text, WIDE[kind], HINT[kind]), lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("order"), s["end"].alias("end"), _features(k, s).alias("features")))
+        return F.transform(located(text, WIDE[kind], HINT[kind]), lambda s: F.struct(s["start"].alias("start"), F.lit(k).alias("order"), s["end"].alias("end"), passes(kind, s["hit"]).alias("passes"), _features(k, s).alias("features")))
 
     return F.concat(*[of(k, kind) for k, kind in enumerate(KINDS)])
 
 
+def passes(kind: str, hit: Column) -> Column:
+    """Whether a candidate's content checks out; the trees do not see this."""
+    if kind == "email":
+        return hit.rlike(_TOP)
+    if kind == "ip":
+        return hit.rlike(rf"^{_OCTET}(?:[ .,]+{_OCTET}){{3}}$")
+    if kind == "card":
+        return luhn(digits(hit))
+    return F.length(digits(hit)).between(10, 13)
+
+
 def _features(k: int, s: Column) -> Column:
-    hit, number = s["hit"], digits(s["hit"])
-    n = F.length(number)
-    signs = F.length(hit) - n
+    hit, before = s["hit"], s["before"]
+    n = F.length(digits(hit))
+    signs = F.length(F.regexp_replace(hit, "[0-9A-Za-z]", ""))
     edge = lambda c: F.when(c == "", 0).when(c.rlike("[\\s]"), 1).when(c.rlike("[A-Za-z0-9]"), 2).otherwise(3)
+    # How many digits a card or phone number has is part of its check.
+    count = F.lit(0) if KINDS[k] == "phone" else F.when(n < 4, 0).when(n < 9, 1).when(n < 12, 2).when(n < 16, 3).when(n == 16, 4).otherwise(5)
     own = (
-        F.lit(k), F.when(n < 4, 0).when(n < 9, 1).when(n < 12, 2).when(n < 16, 3).when(n == 16, 4).otherwise(5), F.when(signs == 0, 0).when(signs <= 3, 1).when(signs <= 6, 2).otherwise(3),
-        hit.startswith("+").cast("int"), hit.contains("(").cast("int"), (luhn(number) if KINDS[k] == "card" else F.lit(False)).cast("int"), (hit.rlike(rf"^{_OCTET}(?:[ .,]+{_OCTET}){{3}}$") if KINDS[k] == "ip" else F.lit(False)).cast("int"),
-        edge(F.right(s["before"], F.lit(1))), edge(F.left(F.coalesce(s["after"], F.lit("")), F.lit(1))), F.lower(s["before"]).rlike(_WORDS).cast("int"),
+        F.lit(k), count, F.when(signs == 0, 0).when(signs <= 3, 1).when(signs <= 6, 2).otherwise(3), hit.startswith("+").cast("int"), hit.contains("(").cast("int"),
+        edge(F.right(before, F.lit(1))), edge(F.left(F.coalesce(s["after"], F.lit("")), F.lit(1))), F.lower(before).rlike(_WORDS).cast("int"), hit.rlike("[A-Z]").cast("int"), (~before.rlike("[0-9]")).cast("int"),
     )
     return F.struct(*[c.alias(name) for c, name in zip(own, FEATURES, strict=True)])
 
@@ -141,13 +157,15 @@ class Trees:
         return out
 
     def accepts(self, candidate: Column) -> Column:
+        """Whether a candidate passes its check and is of a shape and context that do so far above chance."""
         limit = F.element_at(F.array(*[F.lit(x) for x in self.limits]), candidate["order"] + 1)
-        return self.column(candidate["features"]) >= limit
+        return candidate["passes"] & (self.column(candidate["features"]) >= limit)
 
 
 def fit(cells: list[tuple], rounds: int = 24, rate: float = 0.3, precision: float = 0.9) -> Trees:
-    """Trees from cells (features..., held out, rows, confirmed). A kind's threshold is the lowest at
-    which ``precision`` of its held-out candidates above are confirmed; without any it adds nothing."""
+    """Trees from cells (features..., held out, rows, rows that pass). A kind's threshold goes down through the
+    scores of its held-out candidates, ``POOL`` or more at a time, while of those that pass ``precision``
+    do so not by chance: of a share p of true ones, p + (1 - p) * chance pass. Without any it adds nothing."""
     if not cells:
         return Trees(0.0, (), (float("inf"),) * len(KINDS))
     table = np.array(sorted(cells), float)
@@ -188,21 +206,37 @@ def fit(cells: list[tuple], rounds: int = 24, rate: float = 0.3, precision: floa
     for k in range(len(KINDS)):
         own = (x[:, 0] == k) & (held if held.any() else True)
         limit, kept, good = float("inf"), 0.0, 0.0
-        for s in sorted(set(score[own]), reverse=True):
+        levels = sorted(set(score[own]), reverse=True)
+        for s in levels:
             kept += n[own & (score == s)].sum()
             good += y[own & (score == s)].sum()
-            if good >= precision * kept:
-                limit = float(s) - 1e-9
+            if kept < POOL and s != levels[-1]:
+                continue
+            rate, chance = good / max(kept, 1.0), CHANCE[k]
+            if not rate or (rate - chance) / (1 - chance) < precision * rate:
+                break
+            limit, kept, good = float(s) - 1e-9, 0.0, 0.0
         limits.append(limit)
     return Trees(start, tuple(trees), tuple(limits))
 
 
 def train(found: DataFrame) -> Trees:
-    """Trees from rows with ``id``, ``base`` and ``wide``: one in five documents, by hash of the id, is held out."""
-    inside = F.exists("base", lambda b: (b["order"] == F.col("c.order")) & (b["start"] < F.col("c.end")) & (F.col("c.start") < b["end"]))
-    rows = found.where(F.size("wide") > 0).select("id", "base", F.explode("wide").alias("c"))
+    """Trees from rows with ``id`` and ``wide``: one in five documents, by hash of the id, is held out."""
+    rows = found.where(F.size("wide") > 0).select("id", F.explode("wide").alias("c"))
     cells = rows.groupBy(*[F.col(f"c.features.{f}").alias(f) for f in FEATURES], (F.pmod(F.xxhash64("id"), F.lit(5)) == 0).cast("int").alias("held"))
-    return fit([tuple(r) for r in cells.agg(F.count("*"), F.sum(inside.cast("int"))).collect()])
+    return fit([tuple(r) for r in cells.agg(F.count("*"), F.sum(F.col("c.passes").cast("int"))).collect()])
+
+
+def chosen(base: Column, wide: Column, trees: Trees) -> Column:
+    """The base spans and every accepted candidate that no base span of its kind covers, sorted."""
+    covered = lambda c: F.exists(base, lambda b: (b["order"] == c["order"]) & (b["start"] <= c["start"]) & (c["end"] <= b["end"]))
+    plain = F.transform(F.filter(wide, lambda c: trees.accepts(c) & ~covered(c)), lambda c: F.struct(c["start"].alias("start"), c["order"].alias("order"), c["end"].alias("end")))
+    return F.array_sort(F.array_distinct(F.concat(base, plain)))
+
+
+def _proposed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return cut(docs.select(F.col(id_col).alias("id"), base_spans(text).alias("base"), candidates(text).alias("wide")), "candidates")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,15 +245,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     Null texts are empty and have no spans. Repeated rows give a row each. Other columns are not read.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.select(F.col(id_col).alias("id"), base_spans(text).alias("base"), candidates(text).alias("wide"))
-    found = cut(found, "candidates")
-    trees = train(found)
-    plain = F.transform(
-        F.filter("wide", lambda c: trees.accepts(c) & ~F.exists("base", lambda b: (b["order"] == c["order"]) & (b["start"] <= c["start"]) & (c["end"] <= b["end"]))),
-        lambda c: F.struct(c["start"].alias("start"), c["order"].alias("order"), c["end"].alias("end")),
-    )
-    return found.select(F.col("id").alias("doc_id"), "base", F.array_sort(F.array_distinct(F.concat("base", plain))).alias("spans"))
+    found = _proposed(docs, id_col, text_col)
+    return found.select(F.col("id").alias("doc_id"), "base", chosen(F.col("base"), F.col("wide"), train(found)).alias("spans"))
 
 
 def said(spans: Column) -> Column:
@@ -229,7 +256,8 @@ def said(spans: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts and hash of the base spans, and all spans as text."""
+    """Counts and hash of the base spans, and all spans as text, of rows as ``find`` gives them: empty arrays
+    give zeros, the hash of nothing and an empty text; repeated rows and null ids come out each."""
 
     def of(k: int) -> Column:
         return F.size(F.filter("base", lambda s: s["order"] == k)).cast("long")
@@ -239,17 +267,26 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[{}]") -> DataFrame:
-    """doc_id and ``text`` with every span, merged where they overlap, replaced by the name of its first kind."""
-    found = find(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), "spans").dropDuplicates(["_id"])
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).join(found, F.col("doc_id").eqNullSafe(F.col("_id")))
+    """doc_id and ``text`` with every span, merged where they overlap, replaced by the name of its first kind.
+
+    Spans are found and cut in their own row: rows that repeat an id, or have none, are each redacted by
+    their own text. Null texts stay null, empty ones empty; an empty table gives no rows.
+    """
+    trees = train(_proposed(docs, id_col, text_col))
     names = F.array(*[F.lit(mask.format(k)) for k in KINDS])
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substring(F.col("_text"), (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        out = F.when(fresh, F.concat(acc["out"], gap, F.element_at(names, s["order"] + 1))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+    def masked(text: Column, spans: Column) -> Column:
+        part = lambda at, n: F.substr(text, (at + 1).cast("int"), n.cast("int"))
+
+        def piece(s: Column, before: Column) -> Column:
+            return F.when(s["start"] >= before, F.concat(part(before, F.greatest(s["start"] - before, F.lit(0).cast("long"))), F.element_at(names, s["order"] + 1))).otherwise("")
+
+        ends = maxima(F.transform(spans, lambda s: s["end"]))
+        whole = lambda e: F.concat(F.array_join(F.transform(spans, lambda s, i: piece(s, F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(e, i - 1)))), ""), part(F.element_at(e, -1), F.length(text)))
+        return F.when(F.size(spans) > 0, let(ends, whole)).otherwise(text)
+
+    def of(text: Column) -> Column:
+        found = let(base_spans(text), lambda b: let(candidates(text), lambda w: chosen(b, w, trees)))
+        return let(found, lambda spans: masked(text, spans))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    text = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("_text"), (acc["at"] + 1).cast("int"), F.length("_text"))))
-    return rows.select("doc_id", text.alias("text"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.when(F.col(text_col).isNotNull(), of(F.coalesce(F.col(text_col), F.lit("")))).alias("text"))

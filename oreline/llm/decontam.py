@@ -9,21 +9,21 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from fractions import Fraction
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oreline.llm.common import numbered, restored
+from oreline.llm.common import cut, numbered, restored
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _FOLD = {c: c + 32 for c in range(65, 91)}
-#: The automaton travels to every executor: more benchmark words than this go in several automata,
-#: one pass over the documents each.
-WORDS_PER_AUTOMATON = 4_000_000
+#: The automaton travels to every executor: more benchmark words than this go in several automata, each
+#: with a broadcast and a pass of its own; between passes the documents are stored.
+WORDS_PER_AUTOMATON = 500_000
 
 
 def words(text: str | None) -> list[str]:
@@ -142,42 +142,52 @@ class Automaton:
         return spans, set().union(*seen)
 
 
-def automata(benchmark: DataFrame, width: int = 13, id_col: str = "item_id", text_col: str = "text") -> list[Automaton]:
+def automata(benchmark: DataFrame, width: int = 13, id_col: str = "item_id", text_col: str = "text") -> Iterator[Automaton]:
     """Automata of all items, each of at most ``WORDS_PER_AUTOMATON`` words and one item.
 
-    Items reach the driver one partition at a time. Null or wordless items have no windows; an item
-    with a null id counts under the empty name; items that share an id count once.
+    Items reach the driver one partition at a time, and one automaton is built at a time. Null or
+    wordless items have no windows; an item with a null id counts under the empty name; items that
+    share an id count once. An empty benchmark gives one empty automaton.
     """
-    out, part, size = [], [], 0
+    part, size = [], 0
     for item, text in benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col)).toLocalIterator():
         n = len(words(text))
         if part and size + n > WORDS_PER_AUTOMATON:
-            out.append(Automaton.of(part, width))
+            yield Automaton.of(part, width)
             part, size = [], 0
         part.append((item, text))
         size += n
-    return [*out, Automaton.of(part, width)]
-
-
-SCHEMA = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
-
-
-def matches(text: Column, machines: list[Automaton], spark) -> Column:
-    """A struct per text: its words, the merged word spans inside window occurrences, the items hit (sorted)."""
-    shared = spark.sparkContext.broadcast(machines)
-
-    @F.pandas_udf(SCHEMA)
-    def scan(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            found, spans, items = words(text), [], set()
-            for machine in shared.value:
-                more, hit = machine.hits(list(map(machine.vocabulary.get, found)))
-                spans, items = spans + more, items | hit
-            rows.append((len(found), [{"start": a, "end": b} for a, b in merged(spans)], sorted(items)))
-        return pd.DataFrame(rows, columns=["n_words", "spans", "items"])
-
-    return scan(text)
+    yield Automaton.of(part, width)
+
+
+def _scan(shared, kind: pa.DataType):
+    @F.arrow_udf("struct<n_words:long,spans:array<struct<start:long,end:long>>,items:array<string>>")
+    def scan(texts: pa.Array, before: pa.Array) -> pa.Array:
+        machine, out = shared.value, []
+        number = machine.vocabulary.get
+        for text, old in zip(texts, before.to_pylist(), strict=True):
+            run = words(text.as_py())
+            spans, items = machine.hits(list(map(number, run)))
+            if old:
+                spans, items = merged([(s["start"], s["end"]) for s in old["spans"]] + spans), items | set(old["items"])
+            out.append({"n_words": len(run), "spans": [{"start": a, "end": b} for a, b in spans], "items": sorted(items)})
+        return pa.array(out, kind)
+
+    return scan
+
+
+def matched(rows: DataFrame, text: str, benchmark: DataFrame, width: int) -> DataFrame:
+    """``rows`` with ``m``: a text's number of words, the merged word spans inside window occurrences, the items hit (sorted)."""
+    spark, before = rows.sparkSession, None
+    kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
+    rows = rows.withColumn("m", F.lit(None).cast("struct<n_words:long,spans:array<struct<start:long,end:long>>,items:array<string>>"))
+    for machine in automata(benchmark, width):
+        if before is not None:
+            rows = cut(rows, "pass")
+            before.unpersist()
+        shared = before = spark.sparkContext.broadcast(machine)
+        rows = rows.withColumn("m", _scan(shared, kind)(F.col(text), F.col("m")))
+    return rows
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -197,10 +207,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
     word is hit and hits are at least ``share`` of the words. Null and empty texts have no words;
     repeated rows give a row each; an empty benchmark hits nothing. Other columns are not read.
     """
-    found = docs.select(F.col(id_col).alias("doc_id"), matches(F.col(text_col), automata(benchmark, width), docs.sparkSession).alias("m"))
-    n_hit = F.aggregate("m.spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    every = round(1 / share)
-    return found.select("doc_id", "m.n_words", n_hit.alias("n_hit"), F.size("m.items").cast("long").alias("n_items"), "m.items", "m.spans").withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * every >= F.col("n_words")))
+    found = matched(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", benchmark, width)
+    found = found.select("doc_id", "m.n_words", _n_hit().alias("n_hit"), F.size("m.items").cast("long").alias("n_items"), "m.items", "m.spans")
+    return found.withColumn("contaminated", _reaches(F.col("n_hit"), F.col("n_words"), share))
+
+
+def _n_hit() -> Column:
+    return F.aggregate("m.spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+
+
+def _reaches(n_hit: Column, n_words: Column, share: float) -> Column:
+    """Whether hits are at least ``share`` of the words, in whole numbers: the share is what its decimals say."""
+    part = Fraction(str(share))
+    return (n_hit > 0) & (n_hit * part.denominator >= n_words * part.numerator)
 
 
 def without_spans(text: str, spans: Iterable[tuple[int, int]]) -> str:
@@ -217,31 +236,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
     """``docs`` without contaminated rows, and without the hit spans in the texts that stay.
 
     Untouched texts and all other columns stay as they are; ``length_col``, where there is one,
-    follows the shortened texts. Nulls and empty texts stay.
+    follows the shortened texts. Nulls and empty texts stay, repeated rows each; an empty benchmark
+    changes nothing and an empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(automata(benchmark, width))
-    every = round(1 / share)
-
-    @F.arrow_udf("struct<drop:boolean,text:string>")
-    def clean(texts: pa.Array) -> pa.Array:
-        drops, kept = [], []
-        for t in texts:
-            text = t.as_py()
-            found, spans = words(text), []
-            for machine in shared.value:
-                spans += machine.hits(list(map(machine.vocabulary.get, found)))[0]
-            spans = merged(spans)
-            n_hit = sum(b - a for a, b in spans)
-            drops.append(n_hit > 0 and n_hit * every >= len(found))
-            kept.append(without_spans(text, spans) if spans else None)
-        return pa.StructArray.from_arrays([pa.array(drops, pa.bool_()), pa.array(kept, pa.string())], names=["drop", "text"])
+
+    @F.arrow_udf("string")
+    def shortened(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([without_spans(t, [(s["start"], s["end"]) for s in found]) if found else None for t, found in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
 
     rows, names = numbered(docs)
     text = names[text_col]
-    rows = rows.withColumn("clean", clean(F.col(text))).where(~F.col("clean.drop"))
-    changed = {text: F.coalesce(F.col("clean.text"), F.col(text))}
+    rows = matched(rows, text, benchmark, width).where(~_reaches(_n_hit(), F.col("m.n_words"), share))
+    rows = rows.withColumn("clean", shortened(F.when(F.size("m.spans") > 0, F.col(text)), F.col("m.spans")))
+    changed = {text: F.coalesce(F.col("clean"), F.col(text))}
     if length_col and (length := names.get(length_col)):
-        changed[length] = F.when(F.col("clean.text").isNull(), F.col(length)).otherwise(F.length("clean.text")).cast(docs.schema[length_col].dataType)
+        changed[length] = F.when(F.col("clean").isNull(), F.col(length)).otherwise(F.length("clean")).cast(docs.schema[length_col].dataType)
     return restored(rows.withColumns(changed), names)
 
 

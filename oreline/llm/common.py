@@ -2,56 +2,46 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from oreline.operators.storage import scratch
+from oreline.operators.storage import stored as cut
+
+__all__ = ["WORD", "ascii_lower", "cut", "least_hashes", "n_words", "numbered", "restored", "scratch", "table"]
+
 #: What separates words for the operators that count or shingle them.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+#: Rows that go to Python at once: a batch of long texts must fit into a worker beside what it makes of them.
+BATCH = 1_000
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a fresh one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="oreline-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by ``BATCH`` rows, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, str(BATCH))
 
-_written: list[tuple[SparkSession, str]] = []
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-def cut(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: later stages, and retries after a lost
-    executor, start from the files instead of from the whole lineage. The files go at exit."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/oreline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
 
+def least_hashes(hashes: DataFrame, n: int) -> int | None:
+    """The ``n``-th smallest of the different values of column ``h``, or the largest if there are fewer; null of none.
 
-@atexit.register
-def _remove() -> None:
-    for spark, path in _written:
-        try:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session is over
-            return
+    Only hashes move, and of these no more than n reach the driver's side.
+    """
+    return hashes.select("h").distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
 
 
 def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``df`` with its columns renamed to c0, c1, ..., and the new name of each: what an operator adds
     cannot clash with them."""
+    small_batches(df.sparkSession)
     names = {old: f"c{k}" for k, old in enumerate(df.columns)}
     return df.toDF(*names.values()), names
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oreline.llm.common import cut, numbered, restored
+from oreline.llm.common import cut, least_hashes, numbered, restored
 
 LANGUAGES = ("de", "en", "es", "fr")
 NONE = "und"
@@ -73,9 +73,9 @@ def evidence(text: str | None, table: np.ndarray) -> tuple[int, list[float]]:
 def fit(docs: DataFrame, text: str, declared: str, languages: tuple[str, ...], sample: int = SAMPLE) -> np.ndarray:
     """Models from up to ``sample`` different texts per declared language, those of least hash."""
     rows = docs.select(F.col(text).alias("t"), F.lower(F.substring(F.col(declared), 1, 2)).alias("d"), F.xxhash64(text).alias("h")).where(F.col("d").isin(*languages) & F.col("t").isNotNull())
-    where = F.lit(False)
+    where, hashes = F.lit(False), cut(rows.select("d", "h").distinct(), "hashes")
     for lang in languages:
-        last = rows.where(F.col("d") == lang).select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+        last = least_hashes(hashes.where(F.col("d") == lang), sample)
         if last is not None:
             where = where | ((F.col("d") == lang) & (F.col("h") <= last))
 
@@ -110,7 +110,7 @@ def _text_column(text: Column, table: np.ndarray, spark) -> Column:
 
 
 def identify(
-    docs: DataFrame, text_col: str = "text", declared_col: str = "lang", host_col: str = "source", suffix_col: str | None = None, languages: tuple[str, ...] = LANGUAGES, sample: int = SAMPLE, least: float = LEAST, table: np.ndarray | None = None
+    docs: DataFrame, text_col: str = "text", declared_col: str = "lang", host_col: str = "source", suffix_col: str | None = None, languages: tuple[str, ...] = LANGUAGES, sample: int = SAMPLE, least: float = LEAST, table: np.ndarray | None = None, keep: tuple[str, ...] | None = None
 ) -> DataFrame:
     """``docs`` with a column ``_lid``: struct of lang, posterior, text_share (the likelihoods' own
     posterior of that language), n (trigrams) and accepted.
@@ -118,7 +118,8 @@ def identify(
     Rejected: texts without letters (also null and empty), texts that no language explains better
     than independent characters do, and posteriors below ``least``. Null or unknown declarations say
     nothing; null hosts share one prior, as do null suffixes. Repeated rows count and come out each.
-    Without any labelled row all languages are alike and texts are rejected.
+    Without any labelled row all languages are alike and texts are rejected. Very long texts are read
+    whole; their evidence counts as that of ``MOST`` trigrams. keep: the only columns of ``docs`` to give out.
     """
     spark, k = docs.sparkSession, len(languages) + 1
     docs, names_of = numbered(docs)
@@ -129,6 +130,8 @@ def identify(
     declared = F.when(known.isin(*languages), known).otherwise("")
     key = {"_lid_host": F.coalesce(F.col(host_col).cast("string"), F.lit("\0")), "_lid_suffix": F.coalesce(F.col(suffix_col).cast("string"), F.lit("\0")) if suffix_col else F.lit(""), "_lid_declared": declared}
     rows = docs.withColumns(key | {"_lid_x": _text_column(F.col(text_col), table, spark)})
+    rows = cut(rows if keep is None else rows.drop(*[c for old, c in names_of.items() if old not in keep]), "evidence")  # texts are read once
+    names_of = {old: c for old, c in names_of.items() if keep is None or old in keep}
 
     sums = [F.sum(F.when(F.col("_lid_x.n") > 0, F.col("_lid_x.p")[i]).otherwise(0.0)).alias(f"s{i}") for i in range(k)]
     seen = cut(rows.groupBy("_lid_host", "_lid_suffix", "_lid_declared").agg(*sums), "hosts")
@@ -171,10 +174,10 @@ def identify(
 def of_pages(pages: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
     """``page_id``, ``lang``, ``posterior``, ``accepted`` of web pages: declared by the markup's ``lang``, host and
     last label of the host from the address, text without markup. Malformed or null markup and
-    addresses give no evidence."""
+    addresses give no evidence; empty pages are rejected, repeated rows come out each, an empty table gives none."""
     html, url = F.coalesce(F.col("html"), F.lit("")), F.coalesce(F.col("url"), F.lit(""))
     text = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1>", " "), r"<[^>]*>|&[a-zA-Z#0-9]+;", " ")
     host = F.regexp_extract(url, r"://([^/?#]*)", 1)
     rows = pages.select("page_id", text.alias("text"), F.regexp_extract(html, r"(?i)<html[^>]*\blang=[\"']?([A-Za-z]{2})", 1).alias("lang"), host.alias("host"), F.regexp_extract(host, r"([^.]*)$", 1).alias("suffix"))
-    found = identify(rows, "text", "lang", "host", "suffix", languages)
+    found = identify(rows, "text", "lang", "host", "suffix", languages, keep=("page_id",))
     return found.select("page_id", "_lid.lang", "_lid.posterior", "_lid.accepted")

@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oreline.llm.common import numbered, restored
+from oreline.llm.common import least_hashes, numbered, restored
 
 WEIGHTS = 1 << 16
-#: Different texts that the scorer is fitted on: those of least hash.
-SAMPLE = 12_000
+#: Different texts that the scorer is fitted on, those of least hash, and features they have in all.
+SAMPLE, ENTRIES = 12_000, 20_000_000
 #: Scores from here are kept.
 LEAST = 0.4
 LABELLERS = ("symbols", "capitals", "bars", "clean_words", "repeats", "runs", "variety", "length", "word_length", "sentences")
@@ -80,15 +80,14 @@ def em(patterns: dict[tuple[int, ...], int], rounds: int = 100) -> dict[tuple[in
     return {p: float(g) for p, g in zip(patterns, good, strict=True)}
 
 
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed slots and values of a text: words, shapes and measures, with root frequencies."""
+def features(text: str | None, voted: tuple[int, ...] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed slots and values of a text: words, shapes and votes, with root frequencies."""
     raw = (text or "").encode()
     out: Counter[int] = Counter()
     for tag, words in ((1, raw.lower().split()), (2, raw.translate(_SHAPE).split())):
         for w, c in Counter(words).items():
             out[zlib.crc32(w, tag) % WEIGHTS] += c / len(words)
-    m = measures(text)
-    for j, x in enumerate(votes(m)):
+    for j, x in enumerate(votes(measures(text)) if voted is None else voted):
         out[zlib.crc32(b"%d:%d" % (j, x), 3) % WEIGHTS] += 1
     out[zlib.crc32(b"bias", 4) % WEIGHTS] += 1
     return np.fromiter(out, np.int64, len(out)), np.sqrt(np.fromiter(out.values(), float, len(out)))
@@ -110,17 +109,19 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = 4, rate:
 def _vote_column(text: Column) -> Column:
     @F.arrow_udf("int")
     def compute(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts:
-            code = 0
-            for v in votes(measures(t.as_py())):
-                code = code * 3 + v + 1
-            out.append(code)
-        return pa.array(out, pa.int32())
+        return pa.array([code_of(votes(measures(t.as_py()))) for t in texts], pa.int32())
 
     return compute(text)
 
 
+def code_of(pattern: tuple[int, ...]) -> int:
+    """A vote pattern as a number to the base of three."""
+    code = 0
+    for v in pattern:
+        code = code * 3 + v + 1
+    return code
+
+
 def pattern_of(code: int) -> tuple[int, ...]:
     return tuple(code // 3**j % 3 - 1 for j in reversed(range(len(LABELLERS))))
 
@@ -132,7 +133,7 @@ def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> tupl
     good = em({pattern_of(c): n for c, n in codes.items()})
     by_code = {c: good[pattern_of(c)] for c in codes}
     hashed = docs.select(F.col(text_col).alias("t"), F.xxhash64(text_col, F.lit(11)).alias("h")).where("t is not null")
-    last = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    last = least_hashes(hashed, sample)
     if last is None:
         return by_code, np.zeros(WEIGHTS)
 
@@ -140,23 +141,23 @@ def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> tupl
     def compute(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts:
-            at, x = features(t.as_py())
-            code = 0
-            for v in votes(measures(t.as_py())):
-                code = code * 3 + v + 1
+            voted = votes(measures(t.as_py()))
+            at, x = features(t.as_py(), voted)
+            code = code_of(voted)
             out.append({"at": at.tolist(), "x": x.tolist(), "v": code})
         return pa.array(out, pa.struct([("at", pa.list_(pa.int64())), ("x", pa.list_(pa.float64())), ("v", pa.int32())]))
 
     picked = hashed.where(F.col("h") <= last).dropDuplicates(["h"]).select(compute("t").alias("f"), "h").select("f.*", "h").toLocalIterator()
-    fitted = sorted(((r.h, np.array(r.at), np.array(r.x), by_code.get(r.v, PRIOR)) for r in picked), key=lambda r: r[0])
-    return by_code, fit([r[1:] for r in fitted])
+    fitted = sorted(((r.h, np.array(r.at, np.int32), np.array(r.x, np.float32), by_code.get(r.v, PRIOR)) for r in picked), key=lambda r: r[0])
+    most = np.cumsum([len(r[1]) for r in fitted])
+    return by_code, fit([r[1:] for r, n in zip(fitted, most, strict=True) if n <= ENTRIES])
 
 
 def scored(docs: DataFrame, text_col: str = "text", least: float = LEAST, sample: int = SAMPLE) -> DataFrame:
     """``docs`` with a column ``_quality``: struct of posterior (of its votes), score and keep.
 
-    Null and empty texts vote as wordless and score low; repeated rows come out each. An empty table
-    gives no rows.
+    Null and empty texts vote as wordless and score low; very long ones are read whole; repeated rows
+    come out each. An empty table gives no rows.
     """
     docs, names = numbered(docs)
     text_col = names[text_col]
@@ -168,10 +169,10 @@ def scored(docs: DataFrame, text_col: str = "text", least: float = LEAST, sample
         known, w = shared.value
         posterior, score = [], []
         for t in texts:
-            text, code = t.as_py(), 0
-            for v in votes(measures(text)):
-                code = code * 3 + v + 1
-            at, x = features(text)
+            text = t.as_py()
+            voted = votes(measures(text))
+            code = code_of(voted)
+            at, x = features(text, voted)
             posterior.append(known.get(code, PRIOR))
             score.append(float(1 / (1 + np.exp(-np.clip(w[at] @ x, -30, 30)))))
         return pa.StructArray.from_arrays([pa.array(posterior), pa.array(score)], names=["posterior", "score"])

@@ -17,11 +17,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.digest(mixing.plan(table(spark, sf_dir, "documents"))).select("doc_id", "source", "size", "source_size", "target", "taken", "position")
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken", "position")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "_lid.lang", "_lid.posterior", "_lid.n", "_lid.accepted")
+    return langid.identify(table(spark, sf_dir, "documents"), keep=("doc_id",)).select("doc_id", "_lid.lang", "_lid.posterior", "_lid.n", "_lid.accepted")
 
 
 def op3_language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,7 +118,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     """Per row of ``docs``: doc_id, n_bytes (UTF-8), n_tokens of the whole text, over_limit.
 
     Null texts count as empty: no bytes, no tokens. Repeated rows give a row each; other columns
-    are not read.
+    are not read. An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), count_column(F.col(text_col), path).alias("n_tokens"))
     return rows.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from oreline.llm.common import ascii_lower, cut, numbered, restored
+from oreline.llm.common import ascii_lower, cut, least_hashes, numbered, restored
 
 #: Verdict, host, path: a rule fits its host and all subdomains.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -48,16 +48,27 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...])
     return out
 
 
+def _framed(url: str) -> str:
+    """The bytes of a URL, a character each, between a mark of the start and one of the end."""
+    return "\x02" + url.encode("utf-8", "surrogatepass").decode("latin-1") + "\x03"
+
+
 @dataclass
 class Markov:
-    """Character model of orders up to ``order``, each smoothed towards the shorter one (Witten-Bell)."""
+    """Character model of orders up to ``order``, each smoothed towards the shorter one (Witten-Bell).
+
+    Characters are bytes of UTF-8, so that the shortest order, which takes all as alike, is a distribution.
+    """
 
     order: int = ORDER
     counts: dict[str, Counter] = field(default_factory=dict)
     kept: dict[tuple[str, str], float] = field(default_factory=dict)
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"kept": {}}  # what was looked up does not travel
+
     def add(self, url: str) -> None:
-        text = "\x02" + url + "\x03"
+        text = _framed(url)
         for k in range(1, len(text)):
             for n in range(min(self.order, k) + 1):
                 self.counts.setdefault(text[k - n : k], Counter())[text[k]] += 1
@@ -77,7 +88,7 @@ class Markov:
 
     def score(self, url: str) -> float:
         """Mean log chance of a URL's characters and its end."""
-        text = "\x02" + url + "\x03"
+        text = _framed(url)
         return sum(math.log(self.chance(text[max(0, k - self.order) : k], text[k])) for k in range(1, len(text))) / (len(text) - 1)
 
 
@@ -124,9 +135,12 @@ def fit(allowed: list[str], blocked: list[str], order: int = ORDER) -> Ratio:
 def train(pages: DataFrame, url_col: str = "url", rules: tuple = RULES, sample: int = SAMPLE) -> Ratio:
     """A ratio fitted on up to ``sample`` different URLs of each verdict of the rules, those of least hash."""
     url = F.col(url_col)
-    rows = pages.select(url.alias("u"), rule_of(host_of(url), path_of(url), rules)["verdict"].alias("v")).where("v is not null").distinct()
-    rows = cut(rows, "urls")
-    sides = [[r.u for r in rows.where(F.col("v") == v).orderBy(F.xxhash64("u"), "u").limit(sample).select("u").collect()] for v in ("allow", "block")]
+    rows = pages.select(url.alias("u"), F.xxhash64(url).alias("h"), rule_of(host_of(url), path_of(url), rules)["verdict"].alias("v")).where("v is not null")
+    hashes, sides = cut(rows.select("v", "h").distinct(), "hashes"), []
+    for verdict in ("allow", "block"):
+        last = least_hashes(hashes.where(F.col("v") == verdict), sample)
+        near = rows.where((F.col("v") == verdict) & (F.col("h") <= F.lit(last))) if last is not None else rows.limit(0)
+        sides.append([r.u for r in near.dropDuplicates(["h"]).select("u").collect()])  # at most ``sample``
     return fit(*sides)
 
 
@@ -134,7 +148,7 @@ def judge(pages: DataFrame, url_col: str = "url", rules: tuple = RULES, ratio: R
     """``pages`` with a column ``_url``: struct of host, path, rule, verdict and ratio (null where a rule decides).
 
     Null URLs and URLs without ``://`` have empty host and path, so no rule; the method judges the
-    whole string. Repeated rows come out each.
+    whole string. Repeated rows come out each; very long URLs are read whole; an empty table gives no rows.
     """
     pages, names = numbered(pages)
     url_col = names[url_col]

@@ -1,20 +1,40 @@
-"""Top-level domains: the full list is a parameter, read from a text file of one name per line."""
+"""Top-level domains: those that the installed Java knows, or a list of one's own from a text file of one name per line."""
 
 from __future__ import annotations
 
+import functools
+import os
+import shutil
 import time
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: For searches without a list of their own: the oldest generic names and the most used country codes.
+#: Where no Java with a list is found: the oldest generic names and the most used country codes.
 COMMON = tuple(
     "com org net edu gov mil int arpa info biz name pro aero coop museum jobs mobi travel tel cat asia post xxx app dev io ai co me tv xyz top site online shop tech "
     "at au be br ca ch cn cz de dk es eu fi fr gr hu ie il in it jp kr mx nl no nz pl pt ro ru se sk tr tw ua uk us za".split()
 )
 
 
+@functools.cache
+def installed_tlds(java_home: str | None = None) -> tuple[str, ...]:
+    """All top-level domains (about 1450), lower case and sorted, names beyond ASCII as ``xn--``.
+
+    Every Java has them, as the names of the parts of its public suffix list; without such a list ``COMMON``.
+    """
+    java = shutil.which("java")
+    homes = [java_home, os.environ.get("JAVA_HOME"), os.path.dirname(os.path.dirname(os.path.realpath(java))) if java else None]
+    for home in filter(None, homes):
+        path = os.path.join(home, "lib", "security", "public_suffix_list.dat")
+        if os.path.exists(path):
+            with zipfile.ZipFile(path) as parts:
+                return tuple(sorted({name if name.isascii() else name.encode("idna").decode() for name in map(str.lower, parts.namelist())}))
+    return COMMON
+
+
 def read_tlds(spark: SparkSession, path: str) -> DataFrame:
     """``tld``, lower case, from a file in which lines that start with # are comments; blank lines go."""
     line = F.lower(F.trim("value"))

@@ -114,6 +114,23 @@ def near_keys_column(word: Column, look_alikes: bool = False) -> Column:
     return F.array_distinct(made)
 
 
+def reorders_column(word: Column) -> Column:
+    """``reorders``: places of parts are put before each other until all are; at most ``MOST_PARTS`` non-empty parts."""
+    parts = F.split(word, "-")
+    n = F.size(parts)
+
+    def longer(orders: Column, turn: Column) -> Column:
+        left = lambda o: F.array_except(F.sequence(F.lit(1), n), o)
+        each = F.flatten(F.transform(orders, lambda o: F.transform(left(o), lambda i: F.concat(o, F.array(i)))))
+        return F.when(turn < n, each).otherwise(orders)
+
+    few = (n > 1) & (F.size(F.filter(parts, lambda p: p != "")) <= MOST_PARTS)
+    start = F.transform(F.sequence(F.lit(1), n), lambda i: F.array(i))
+    orders = F.aggregate(F.sequence(F.lit(1), n), start, longer)
+    made = F.transform(orders, lambda o: F.array_join(F.transform(o, lambda i: F.element_at(parts, i)), "-"))
+    return F.when(few, F.array_distinct(F.filter(made, lambda x: x != word))).otherwise(F.array().cast("array<string>"))
+
+
 def near_key_table(spark: SparkSession, look_alikes: bool = False):
     """``char``, ``replacement``: the substitutions as a relation."""
     rows = [(c, x) for c in NEAR_KEYS for x in dict.fromkeys(NEAR_KEYS[c] + (LOOK_ALIKES.get(c, "") if look_alikes else ""))]

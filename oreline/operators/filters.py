@@ -107,6 +107,11 @@ def route(dork: tuple[str, str], path: Column) -> Column:
     return F.lit(True) if kind == "anything" else _KINDS[kind](path) == value
 
 
+def routes(groups: list[tuple[tuple[str, str], list[str]]], path: Column) -> Column:
+    """The places in ``groups`` of the searches that a path is for, as an array."""
+    return F.filter(F.array(*[F.when(route(dork, path), F.lit(k)) for k, (dork, _) in enumerate(groups)]), lambda x: x.isNotNull())
+
+
 def owner_and_repo(url: Column) -> Column:
     """Owner and repository of ``https://github.com/owner[/repo]``, else null; trailing ``/`` and ``.git`` go."""
     rest = F.regexp_replace(F.regexp_replace(F.regexp_extract(url, "^https://github\\.com/(.+)$", 1), "/$", ""), "\\.git$", "")

@@ -7,7 +7,8 @@ Offsets and columns count bytes of UTF-8, lines count from 1.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from oreline.functions import variations as V
 from oreline.functions.arrays import let, maxima, sums
 from oreline.functions.charset import Alphabet, CharacterSet, Match, alphabet
-from oreline.functions.tlds import COMMON
+from oreline.functions.tlds import installed_tlds
+from oreline.operators import filters
 
 #: Bytes of strings up to which the keyword table is broadcast; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
@@ -46,7 +48,7 @@ class Parameters:
     columns: int = 50
     lines: int = 0
     collapse_mixed: bool = False
-    tlds: tuple[str, ...] = COMMON
+    tlds: tuple[str, ...] = ()  # for domains; none: those that are installed
 
 
 @dataclass
@@ -75,21 +77,32 @@ class Search:
     def _domain_keywords(self) -> list[Keyword]:
         """Terms are ``stem.tld``; with typing errors the stem's variations meet every top-level domain, the stem all others."""
         p, out, stems = self.parameters, [], {}
+        tlds = p.tlds or installed_tlds()
+        known_tlds = set(tlds)
         for term in self.terms:
             parts = self.alphabet.normalized(term).split(".")
             if len(parts) != 2:
                 raise ValueError(f"subdomains are not supported: '{term}'")
-            if parts[1].lower() not in p.tlds:
+            if parts[1].lower() not in known_tlds:
                 raise ValueError(f"not a valid tld '{parts[1]}' in domain '{term}'")
             stems.setdefault(parts[0], []).append(parts[1])
             out.append((term, term if p.match == Match.EXACT else ".".join(parts), True, None))
         if p.match in (Match.TYPO, Match.BOTH):
             for stem, own in stems.items():
                 label, known = f"{stem}.{{{','.join(sorted(own))}}}", tuple(f"{stem}.{t}" for t in sorted(own))
-                out += [(label, f"{stem}.{t}", False, known) for t in p.tlds if t not in own]
-                out += [(label, f"{v}.{t}", False, known) for v in V.word_variations(stem, look_alikes=True) for t in p.tlds]
+                out += [(label, f"{stem}.{t}", False, known) for t in tlds if t not in own]
+                out += [(label, f"{v}.{t}", False, known) for v in V.word_variations(stem, look_alikes=True) for t in tlds]
         return [Keyword(k, *x) for k, x in enumerate(dict.fromkeys(out))]
 
+    @classmethod
+    def of_groups(cls, groups: list[list[str]], parameters: Parameters) -> Search | None:
+        """One search of several groups of terms, each with results of its own; null if their alphabets differ."""
+        each = [cls(terms, parameters) for terms in groups]
+        if any(x.alphabet != each[0].alphabet for x in each):
+            return None
+        each[0].keywords = [replace(k, group=g) for g, x in enumerate(each) for k in x.keywords]
+        return each[0]
+
     def variations(self) -> list[str]:
         """Sorted distinct variations."""
         return sorted({k.variation for k in self.keywords})
@@ -261,6 +274,18 @@ class Search:
 
         return let(F.struct(left.alias("left"), right.alias("right")), cut)
 
+    @staticmethod
+    def match_dorks(docs: DataFrame, key: list[str], text: str, path: str, dorks: list[filters.Dork], parameters: Parameters) -> DataFrame:
+        """The searches of ``dorks`` over files: columns as of ``match`` and ``group``, the place of the search in
+        ``filters.dork_groups``. Files are read once; where alphabets differ (``input``), once a search."""
+        groups = filters.dork_groups(dorks)
+        search = Search.of_groups([terms for _, terms in groups], parameters)
+        routed = docs.withColumn("_routes", filters.routes(groups, F.col(path))).where(F.size("_routes") > 0)
+        if search is not None:
+            return search.match(routed, key, text, routes="_routes")
+        each = [Search(terms, parameters).match(routed.where(F.array_contains("_routes", k)), key, text).withColumn("group", F.lit(k)) for k, (_, terms) in enumerate(groups)]
+        return reduce(DataFrame.unionByName, each)
+
     def match_permissive(self, spark: SparkSession, texts: list[str]) -> DataFrame:
         """``match`` over strings, a row of ``index`` each."""
         return self.match(spark.createDataFrame(list(enumerate(texts)), "index int, text string"), ["index"], "text")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from oreline.functions import variations as V
 from oreline.functions.charset import CharacterSet, Match
+from oreline.functions.tlds import installed_tlds
 from oreline.operators import filters, hashing, history, policy, release
 from oreline.operators.search import Parameters, Search
 from oreline.plans.oracle import quoted, search_ctes, search_sql
@@ -70,28 +71,40 @@ for _name, (_s, _source, _key, _text) in SEARCHES.items():
     ORACLE_SQL[_name] = search_sql(_s, _source, _key, _text)
 
 _CLEAN = r"[^\p{L}\p{N}\p{P}\p{Sc}\p{Sm}\n]"
-_FULL = Search(["der", "que"], Parameters(Match.NORMALIZED, context=True, columns=100_000))
-_LINES = Search(["der", "que"], Parameters(Match.NORMALIZED, context=True, columns=100_000, lines=1))
+_NEAR = Search(["der", "que"], Parameters(Match.NORMALIZED, context=True, columns=50))
+_LINES = Search(["der", "que"], Parameters(Match.NORMALIZED, context=True, columns=40, lines=1))
 
 
 def _context_sql(search: Search) -> str:
-    n = search.parameters.lines
+    """Windows in bytes, on text as bytes in hex: two digits a byte, so that a cut character shows as half."""
+    n, columns = search.parameters.lines, search.parameters.columns
+    most = 4 * n * columns if n else columns
     before = f"array_to_string(list_slice(string_split(prefix, chr(10)), -{n + 1}, -1), chr(10))"
     after = f"array_to_string(list_slice(string_split(rest, chr(10)), 1, {n + 1}), chr(10))"
+    # Characters that are cut fall out on both sides: held against the engine without its blanks there.
+    left = f"(SELECT coalesce(string_agg(c, '' ORDER BY i), '') FROM (SELECT c, i, sum(strlen(c)) OVER (ORDER BY i DESC) AS n FROM (SELECT unnest(string_split(l, '')) AS c, generate_subscripts(string_split(l, ''), 1) AS i)) WHERE n <= {most})"
+    right = f"(SELECT coalesce(string_agg(c, '' ORDER BY i), '') FROM (SELECT c, i, sum(strlen(c)) OVER (ORDER BY i) AS n FROM (SELECT unnest(string_split(r, '')) AS c, generate_subscripts(string_split(r, ''), 1) AS i)) WHERE n <= {most})"
     return search_ctes(search, "documents", "doc_id", "text") + f"""
-, around AS (SELECT f.doc_id, original, matched_text, line_number, array_to_string(list_slice(t, 1, pos - 1), '') AS prefix, array_to_string(list_slice(t, pos + 1, len(t)), '') AS rest
-           FROM found f JOIN toks USING (doc_id))
-SELECT doc_id, original, matched_text, line_number, regexp_replace({before}, '{_CLEAN}', ' ', 'g') AS context_before, regexp_replace({after}, '{_CLEAN}', ' ', 'g') AS context_after FROM around"""
+, around AS (SELECT f.doc_id, original, matched_text, line_number, start_of_word, right(array_to_string(list_slice(t, 1, pos - 1), ''), {4 * most + 4}) AS prefix, left(array_to_string(list_slice(t, pos + 1, len(t)), ''), {4 * most + 4}) AS rest
+           FROM found f JOIN toks USING (doc_id)),
+sides AS (SELECT *, {before} AS l, {after} AS r FROM around)
+SELECT doc_id, original, matched_text, line_number, start_of_word, ltrim(regexp_replace({left}, '{_CLEAN}', ' ', 'g')) AS context_before, rtrim(regexp_replace({right}, '{_CLEAN}', ' ', 'g')) AS context_after,
+       strlen(l) > {most} AS trimmed_left, strlen(r) > {most} AS trimmed_right FROM sides"""
 
 
-@query(_context_sql(_FULL))
+def _contexts(search: Search, spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.match(table(spark, sf_dir, "documents"), ["doc_id"], "text")
+    return found.select("doc_id", "original", "matched_text", "line_number", "start_of_word", F.ltrim("context_before").alias("context_before"), F.rtrim("context_after").alias("context_after"), "trimmed_left", "trimmed_right")
+
+
+@query(_context_sql(_NEAR))
 def context_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _FULL.match(table(spark, sf_dir, "documents"), ["doc_id"], "text").select("doc_id", "original", "matched_text", "line_number", "context_before", "context_after")
+    return _contexts(_NEAR, spark, sf_dir)
 
 
 @query(_context_sql(_LINES))
 def context_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _LINES.match(table(spark, sf_dir, "documents"), ["doc_id"], "text").select("doc_id", "original", "matched_text", "line_number", "context_before", "context_after")
+    return _contexts(_LINES, spark, sf_dir)
 
 
 _PLAIN = SEARCHES["search_package_normalized"][0]
@@ -151,11 +164,8 @@ def _dork_sql() -> str:
 
 @query(_dork_sql())
 def dork_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, out = _pages(spark, sf_dir), None
-    for k, (route, search) in enumerate(_DORK_SEARCHES):
-        found = search.match(pages.where(filters.route(route, F.col("path"))), ["page_id"], "html").select(F.lit(k).alias("search"), "page_id", "original", "line_number", "start_of_word")
-        out = found if out is None else out.unionByName(found)
-    return out
+    found = Search.match_dorks(_pages(spark, sf_dir), ["page_id"], "html", "path", _DORKS, Parameters(Match.NORMALIZED))
+    return found.select(F.col("group").alias("search"), "page_id", "original", "line_number", "start_of_word")
 
 
 @query(r"""SELECT page_id, CASE WHEN rest <> '' AND len(string_split(rest, '/')) <= 2 THEN string_split(rest, '/')[1] END AS owner, CASE WHEN rest <> '' AND len(string_split(rest, '/')) <= 2 THEN string_split(rest, '/')[2] END AS repo
@@ -192,26 +202,49 @@ _PAIRS = ", ".join(f"({quoted(c)}, {quoted(x)})" for c, keys in V.NEAR_KEYS.item
 ORACLE_SQL["variations_qwerty"] = f"SELECT DISTINCT word, substring(word, 1, i - 1) || x || substring(word, i + 1) AS variation FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM ({_WORDS})) JOIN (VALUES {_PAIRS}) AS n(c, x) ON substring(word, i, 1) = c"
 
 
-@query("WITH p AS (SELECT word, string_split(word, '-') AS parts FROM (" + _WORDS + ")) SELECT DISTINCT word, parts[2] || '-' || parts[1] AS variation FROM p WHERE len(parts) = 2 AND parts[1] <> parts[2]")
+@query(f"""WITH RECURSIVE p AS (SELECT word, string_split(word, '-') AS parts FROM ({_WORDS})),
+o AS (SELECT word, parts, [i] AS taken FROM (SELECT word, parts, unnest(range(1, len(parts) + 1)) AS i FROM p WHERE len(parts) > 1 AND len(list_filter(parts, lambda x: x <> '')) <= 5)
+      UNION ALL SELECT word, parts, list_append(taken, i) FROM (SELECT word, parts, taken, unnest(range(1, len(parts) + 1)) AS i FROM o) WHERE NOT list_contains(taken, i))
+SELECT DISTINCT word, array_to_string(list_transform(taken, lambda i: parts[i]), '-') AS variation FROM o WHERE len(taken) = len(parts) AND array_to_string(list_transform(taken, lambda i: parts[i]), '-') <> word""")
 def variations_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    make = F.udf(V.reorders, "array<string>")  # distinct names are few; permutations have no built-in
-    return _words(spark, sf_dir).select("word", F.explode(make("word")).alias("variation"))
+    return _words(spark, sf_dir).select("word", F.explode(V.reorders_column(F.col("word"))).alias("variation"))
 
 
 _ALL = [("package", Search(["there", "mail-server"], Parameters(Match.BOTH))), ("domain", Search(["pypi.org", "pypi.io"], Parameters(Match.BOTH, CharacterSet.DOMAIN)))]
+_ALIKE = ", ".join(f"({quoted(c)}, {quoted(x)})" for c in V.NEAR_KEYS for x in V.NEAR_KEYS[c] + V.LOOK_ALIKES.get(c, ""))
+
+
+def _variations_sql(words: str, alike: str) -> str:
+    """``original``, ``variation`` of all kinds but reordering, of a table of ``word``."""
+    each = f"SELECT word, unnest(range(1, length(word) + 1)) AS i FROM ({words})"
+    made = [f"SELECT word, {expr} AS v FROM ({each}) WHERE {cond}" for _, expr, cond in _GENERATORS.values()]
+    made.append(f"SELECT word, substring(word, 1, i - 1) || x || substring(word, i + 1) FROM ({each}) JOIN (VALUES {alike}) AS n(c, x) ON substring(word, i, 1) = c")
+    return f"SELECT DISTINCT word, v FROM ({' UNION ALL '.join(made)}) WHERE v <> '' AND v <> word"
+
 
+_TLD_VALUES = "(VALUES " + ", ".join(f"({quoted(t)})" for t in installed_tlds()) + ") AS t(tld)"
+_DOMAIN_SQL = f"""SELECT 'pypi.{{io,org}}' AS original, v || '.' || tld AS variation FROM ({_variations_sql("SELECT 'pypi' AS word", _ALIKE)}), {_TLD_VALUES}
+UNION SELECT 'pypi.{{io,org}}', 'pypi.' || tld FROM {_TLD_VALUES} WHERE tld NOT IN ('org', 'io') UNION SELECT 'pypi.' || x, 'pypi.' || x FROM (VALUES ('org'), ('io')) AS o(x)"""
+_PACKAGE_SQL = f"""SELECT word AS original, v AS variation FROM ({_variations_sql("SELECT unnest(['there', 'mail-server']) AS word", _PAIRS)})
+UNION SELECT 'mail-server', 'server-mail' UNION SELECT x, x FROM (VALUES ('there'), ('mail-server')) AS o(x)"""
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({quoted(n)}, {quoted(v)})" for n, s in _ALL[:1] for v in s.variations()) + ") AS v(name, variation)")
+
+def _stats_sql(name: str, sql: str) -> str:
+    prefixes = f"SELECT count(DISTINCT left(variation, i)) FROM (SELECT variation, unnest(range(0, length(variation) + 1)) AS i FROM ({sql}))"
+    return f"SELECT {quoted(name)} AS name, (SELECT count(*) FROM ({sql}) WHERE variation <> original) AS variations, ({prefixes}) AS nodes"
+
+
+@query(f"SELECT DISTINCT 'package' AS name, variation FROM ({_PACKAGE_SQL})")
 def variations_package(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ALL[0][1].keyword_frame(spark).select(F.lit("package").alias("name"), "variation").distinct().orderBy("variation")
 
 
-@query()
+@query(_DOMAIN_SQL)
 def variations_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ALL[1][1].keyword_frame(spark).select("original", "variation").distinct().orderBy("variation")
 
 
-@query()
+@query(f"{_stats_sql('package', _PACKAGE_SQL)} UNION ALL {_stats_sql('domain', _DOMAIN_SQL)}")
 def variation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, s.size()["variations"], s.size()["nodes"]) for n, s in _ALL], "name string, variations long, nodes long")
 

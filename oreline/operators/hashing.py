@@ -56,7 +56,8 @@ def tree_sums(entries: DataFrame, sums: DataFrame, algorithm: str = DEFAULT) ->
     while not left.isEmpty():
         known = left.join(done.withColumnRenamed("sum", "new"), ["repo_id", "hash"], "left")
         new = F.when(F.col("mode") == "160000", F.col("hash")).otherwise(F.col("new"))
-        line = F.concat(F.concat(F.col("mode"), F.lit(" "), F.col("name"), F.lit("\0")).cast("binary"), F.unhex(new))
+        name = F.col("name_bytes") if "name_bytes" in entries.columns else F.col("name").cast("binary")
+        line = F.concat(F.concat(F.col("mode"), F.lit(" ")).cast("binary"), name, F.lit("\0").cast("binary"), F.unhex(new))
         grouped = known.groupBy("repo_id", "tree_hash").agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))).alias("lines"), F.count_if(new.isNull()).alias("open"))
         ready = grouped.where("open = 0").select("repo_id", F.col("tree_hash").alias("hash"), F.aggregate("lines", F.lit("").cast("binary"), lambda a, x: F.concat(a, x["line"])).alias("data"))
         round_ = stored(ready.select("repo_id", "hash", object_hash("tree", F.col("data"), algorithm).alias("sum")))

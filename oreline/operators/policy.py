@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from oreline.operators.filters import exclusive
 from oreline.operators.history import first_parent_chain, heads, parent_edges, reachable
 
 #: The rules and what holds where a configuration does not say.
@@ -20,6 +21,10 @@ RULES = {
 }
 
 
+#: The rule that signatures break where no result of a check is given.
+UNCHECKED = "signature not checked"
+
+
 def signature_type(signature: Column) -> Column:
     """``ssh``, ``gpg``, ``none`` or ``unknown``, by the armour's first line."""
     return (
@@ -41,7 +46,9 @@ def emails(identities: DataFrame, roles: DataFrame) -> DataFrame:
     own = F.concat(F.array("email"), F.coalesce("additional_emails", F.array().cast("array<string>")))
     plain = known.select(F.explode(own).alias("address"), F.col("email").alias("identity"), "maintainer", F.lit(False).alias("forge"))
     forge = known.where("forge_username is not null and forge_user_id is not null").select(forge_email(F.col("forge_user_id"), F.col("forge_username")).alias("address"), F.col("email").alias("identity"), "maintainer", F.lit(True).alias("forge"))
-    return plain.unionByName(forge).withColumnRenamed("address", "email").dropDuplicates(["email", "forge"])
+    every = plain.unionByName(forge)
+    # Two identities with one address: that it maintains holds if it does for one of them.
+    return every.groupBy(F.col("address").alias("email"), "forge").agg(F.min("identity").alias("identity"), F.max("maintainer").alias("maintainer")).select("email", "identity", "maintainer", "forge")
 
 
 def _violation(rows: DataFrame, rule: str, what: Column, when: Column, detail: Column | None = None) -> DataFrame:
@@ -82,18 +89,20 @@ def ignored(commits: DataFrame, afters: DataFrame) -> DataFrame:
     return reachable(parent_edges(commits), afters)
 
 
-def check_commits(commits: DataFrame, known: DataFrame, skip: DataFrame, rules: dict, verified: DataFrame | None = None, forge: dict | None = None) -> DataFrame:
+def check_commits(commits: DataFrame, known: DataFrame, skip: DataFrame, rules: dict, verified: DataFrame | None = None, forge: dict | None = None, states: DataFrame | None = None) -> DataFrame:
     """Violations of commits that ``skip`` (repo_id, hash) does not hold.
 
-    known: as ``emails`` gives it. verified: repo_id, hash, valid of signatures, where checked. forge: email,
-    allow_merge_commits, allow_content_commits of the forge that commits for its users.
+    known: as ``emails`` gives it. verified: as ``signatures.verified`` gives it; without it every signature is a
+    violation of its own, "signature not checked". forge: email, allow_merge_commits, allow_content_commits of
+    the forge that commits for its users. states: ``signatures.merge_states``, for merges a forge makes.
     """
     rules = RULES | rules
     plain = F.broadcast(known.where("not forge").select(F.col("email").alias("_email"), F.lit(True).alias("_plain")))
     every = F.broadcast(known.select(F.col("email").alias("_author")).distinct().withColumn("_any", F.lit(True)))
     rows = commits.join(skip, ["repo_id", "hash"], "left_anti").withColumn("kind", signature_type(F.col("signature")))
     rows = rows.join(plain, F.col("committer.email") == F.col("_email"), "left").join(every, F.col("author.email") == F.col("_author"), "left")
-    rows = rows.join(verified, ["repo_id", "hash"], "left") if verified is not None else rows.withColumn("valid", F.lit(True))
+    rows = rows.join(verified.select("repo_id", "hash", "valid"), ["repo_id", "hash"], "left") if verified is not None else rows.withColumn("valid", F.lit(None).cast("boolean"))
+    failed = "invalid signature" if verified is not None else UNCHECKED
     by_forge = F.col("committer.email") == forge["email"] if forge else F.lit(False)
     n = F.size("parents")
     h = F.col("hash")
@@ -103,7 +112,7 @@ def check_commits(commits: DataFrame, known: DataFrame, skip: DataFrame, rules:
         _violation(own, "unknown committer", h, F.col("_plain").isNull(), F.col("committer.email")),
         _violation(own, "unsigned commit", h, F.col("kind") == "none"),
         _violation(own, "unknown signature", h, F.col("kind") == "unknown"),
-        _violation(own, "invalid signature", h, F.col("kind").isin("ssh", "gpg") & ~F.coalesce("valid", F.lit(False))),
+        _violation(own, failed, h, F.col("kind").isin("ssh", "gpg") & ~F.coalesce("valid", F.lit(False))),
     ]
     for kind in ("ssh", "gpg"):
         if not rules[f"allow_{kind}_signatures"]:
@@ -116,7 +125,11 @@ def check_commits(commits: DataFrame, known: DataFrame, skip: DataFrame, rules:
         if not merges:
             out.append(_violation(theirs, "forge is not allowed to merge", h, n > 1))
         out.append(_violation(theirs, "unknown author of a forge commit", h, F.col("_any").isNull(), F.col("author.email")))
-        out.append(_violation(theirs, "forge commit without a valid signature", h, (F.col("kind") == "none") | ~F.coalesce("valid", F.lit(False))))
+        out.append(_violation(theirs, "forge commit without a valid signature" if verified is not None else UNCHECKED, h, (F.col("kind") == "none") | ~F.coalesce("valid", F.lit(False))))
+        if merges and not content:
+            clean = theirs.join(states.select("repo_id", "hash", "clean"), ["repo_id", "hash"], "left") if states is not None else theirs.withColumn("clean", F.lit(None).cast("boolean"))
+            out.append(_violation(clean, "forge commit is no merge", h, n < 2))
+            out.append(_violation(clean, "forge merge changes content" if states is not None else "merge not checked", h, (n > 1) & ~F.coalesce("clean", F.lit(False))))
     return _all(out)
 
 
@@ -132,7 +145,7 @@ def check_tags(refs: DataFrame, tags: DataFrame, known: DataFrame, exempt: DataF
     rows = rows.join(tags.select("repo_id", "hash", F.col("name").alias("tag"), F.col("tagger.email").alias("tagger"), "signature"), ["repo_id", "hash"], "left")
     by = F.broadcast(known.where("maintainer and not forge").select(F.col("email").alias("tagger"), F.lit(True).alias("_known")))
     rows = rows.join(by, "tagger", "left").withColumn("kind", signature_type(F.col("signature")))
-    rows = rows.join(verified, ["repo_id", "hash"], "left") if verified is not None else rows.withColumn("valid", F.lit(True))
+    rows = rows.join(verified.select("repo_id", "hash", "valid"), ["repo_id", "hash"], "left") if verified is not None else rows.withColumn("valid", F.lit(None).cast("boolean"))
     ref, annotated, bound = F.col("ref"), F.col("tag").isNotNull(), F.col("_exempt").isNull()
     need = F.lit(bool(rules["require_signed_tags"]))
     signed = annotated & bound & F.col("kind").isin("ssh", "gpg")
@@ -142,7 +155,7 @@ def check_tags(refs: DataFrame, tags: DataFrame, known: DataFrame, exempt: DataF
         _violation(rows, "unknown tagger", ref, annotated & bound & F.col("_known").isNull(), F.col("tagger")),
         _violation(rows, "unsigned annotated tag", ref, annotated & bound & (F.col("kind") == "none") & need),
         _violation(rows, "unknown signature", ref, annotated & bound & (F.col("kind") == "unknown")),
-        _violation(rows, "invalid signature", ref, signed & ~F.coalesce("valid", F.lit(False))),
+        _violation(rows, "invalid signature" if verified is not None else UNCHECKED, ref, signed & ~F.coalesce("valid", F.lit(False))),
         _violation(rows, "lightweight tag", ref, ~annotated & bound & need),
     ])
 
@@ -151,7 +164,8 @@ def check_protected(commits: DataFrame, tips: DataFrame, known: DataFrame, rules
     """Violations on the first-parent chain of protected tips (repo_id, branch, hash, after), down to ``after``.
 
     merges: repo_id, hash, clean (the merge changes no content), up_to_date (the merge base is the first
-    parent); commits without a row there count as neither. Object is the branch or a commit.
+    parent); merges without a row there, or all where it is not given, count as neither. Object is the
+    branch or a commit.
     """
     rules = RULES | rules
     chain = first_parent_chain(parent_edges(commits), tips)
@@ -162,7 +176,7 @@ def check_protected(commits: DataFrame, tips: DataFrame, known: DataFrame, rules
     makers = F.broadcast(known.where("maintainer and not forge").select(F.col("email").alias("_email"), F.lit(True).alias("_maintains")))
     authors = F.broadcast(known.where("maintainer").select(F.col("email").alias("_author")).distinct().withColumn("_author_maintains", F.lit(True)))
     rows = rows.join(makers, F.col("committer.email") == F.col("_email"), "left").join(authors, F.col("author.email") == F.col("_author"), "left")
-    rows = rows.join(merges, ["repo_id", "hash"], "left") if merges is not None else rows.withColumns({"clean": F.lit(True), "up_to_date": F.lit(True)})
+    rows = rows.join(merges, ["repo_id", "hash"], "left") if merges is not None else rows.withColumns({"clean": F.lit(False), "up_to_date": F.lit(False)})
     by_forge = (F.col("committer.email") == forge["email"]) & F.col("_author_maintains").isNotNull() if forge else F.lit(False)
     merge, h, branch = F.size("parents") == 2, F.col("hash"), F.col("branch")
     out = [
@@ -233,3 +247,65 @@ def connected(commits: DataFrame, targets: DataFrame, afters: DataFrame) -> Data
     down = first_parent_chain(edges, targets).join(afters, ["repo_id", "hash"], "left_semi").select("repo_id", F.col("start").alias("hash"))
     up = first_parent_chain(edges, afters).join(targets, ["repo_id", "hash"], "left_semi").select("repo_id", "hash")
     return down.union(up).distinct()
+
+
+def verify(
+    commits: DataFrame, tags: DataFrame, refs: DataFrame, policy: dict, known: DataFrame, *, verified: DataFrame | None = None, merges: DataFrame | None = None, sums: DataFrame | None = None,
+    commit: str | None = None, tag: str | None = None, branch: str | None = None, tip: str | None = None, connected_to_after: bool = False,
+) -> DataFrame:
+    """All violations (repo_id, rule, object, detail) of repositories under a policy, sorted; none means that all is well.
+
+    policy: rules, protected_branches, after (sha1 or sha512, branch), exempt_tags (ref, hash with sha1 or
+    sha512), forge. known: as ``emails`` gives it. verified, merges: results of ``signatures.verified`` and
+    ``signatures.merge_states``; what they do not cover is a violation. sums: repo_id, hash, sum (SHA-512)
+    of commits and tags, needed where the policy names objects by it.
+
+    Without a target everything is checked. commit, tag or branch: only what that reaches, down to the
+    ``after`` commits; a target must exist, a tag must point to a commit, and a branch must stand at
+    ``tip`` where that is given. connected_to_after: a target commit must also lie on a first-parent
+    line with an ``after``.
+    """
+    rules, spark = RULES | (policy.get("rules") or {}), commits.sparkSession
+    exclusive(commit=commit, tag=tag, branch=branch)
+    named = sums.select("repo_id", "hash", F.col("sum").alias("sha512")) if sums is not None else commits.select("repo_id", "hash", F.lit(None).cast("string").alias("sha512"))
+    ends = spark.createDataFrame([(a.get("sha1"), a.get("sha512"), a.get("branch")) for a in policy.get("after") or []], "a1 string, a512 string, a_branch string")
+    objects = commits.select("repo_id", "hash").join(named, ["repo_id", "hash"], "left")
+    afters = objects.join(F.broadcast(ends), (F.col("hash") == F.col("a1")) | (F.col("sha512") == F.col("a512"))).select("repo_id", "hash", "a_branch")
+    wrong = afters.join(named.select("repo_id", "hash", F.col("sha512").alias("_now")), ["repo_id", "hash"]).join(F.broadcast(ends), F.col("hash") == F.col("a1")).where("a512 is not null and (_now is null or _now != a512)")
+    skip = ignored(commits, afters.select("repo_id", "hash"))
+    out = [_violation(wrong, "wrong sha512 of after", F.col("hash"), F.lit(True), F.col("_now")), wrong_ids(commits)]
+
+    name = F.regexp_replace("name", "^refs/(?:remotes/[^/]+|heads)/", "")
+    tips = refs.where(F.col("name").rlike("^refs/(remotes/[^/]+|heads)/")).select("repo_id", name.alias("branch"), "hash").distinct()
+    protected = tips.where(F.col("branch").isin(list(policy.get("protected_branches") or [])))
+    exempt = spark.createDataFrame([(e["ref"], (e.get("hash") or {}).get("sha1"), (e.get("hash") or {}).get("sha512")) for e in policy.get("exempt_tags") or []], "ref string, e1 string, e512 string")
+    tag_refs = refs.where(F.col("name").startswith("refs/tags/"))
+    target = None
+    if commit:
+        target = commits.where(F.col("hash") == commit).select("repo_id", "hash")
+    elif tag:
+        tag_refs = tag_refs.where(F.col("name") == f"refs/tags/{tag}")
+        target = tag_refs.join(tags.select("repo_id", "hash", "target"), ["repo_id", "hash"], "left").select("repo_id", F.coalesce("target", "hash").alias("hash")).join(commits.select("repo_id", "hash"), ["repo_id", "hash"], "left_semi")
+    elif branch:
+        target = tips.where(F.col("branch") == branch).select("repo_id", "hash")
+        protected = protected.where(F.col("branch") == branch)
+        if tip:
+            out.append(_violation(target, "branch is at another commit", F.col("hash"), F.col("hash") != tip, F.lit(branch)))
+    checked = commits
+    if target is not None:
+        repos = commits.select("repo_id").distinct()
+        out.append(_violation(repos.join(target, "repo_id", "left_anti"), "target does not exist", F.lit(commit or tag or branch), F.lit(True)))
+        checked = commits.join(reachable(parent_edges(commits), target, stop=skip), ["repo_id", "hash"], "left_semi")
+        if connected_to_after:
+            lost = target.join(connected(commits, target, afters.select("repo_id", "hash")), ["repo_id", "hash"], "left_anti")
+            out.append(_violation(lost, "not connected to an after commit", F.col("hash"), F.lit(True)))
+    out.append(check_commits(checked, known, skip, rules, verified, policy.get("forge"), merges))
+    if not commit and not branch:
+        listed = tag_refs.join(F.broadcast(exempt), F.col("name") == F.col("ref")).join(named, ["repo_id", "hash"], "left")
+        held = F.when(F.col("e1").isNotNull(), F.col("e1")).when(F.col("sha512") == F.col("e512"), F.col("hash")).otherwise("no such hash")
+        out.append(check_tags(tag_refs, tags, known, listed.select("repo_id", "ref", held.alias("sha1")), rules, verified))
+    if not commit and not tag:
+        ends = afters.select(F.col("repo_id").alias("a_repo"), F.col("hash").alias("after"), "a_branch")
+        own = protected.join(ends, (F.col("repo_id") == F.col("a_repo")) & (F.coalesce("a_branch", "branch") == F.col("branch")), "left").select("repo_id", "branch", "hash", "after")
+        out.append(check_protected(commits, own, known, rules, merges, policy.get("forge")))
+    return _all(out).distinct().orderBy("repo_id", "rule", "object", "detail")

@@ -13,7 +13,7 @@ import tempfile
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BEGIN, END = "-----BEGIN SSH SIGNATURE-----", "-----END SSH SIGNATURE-----"
@@ -115,14 +115,55 @@ def signature_problem(content: Column, signature: Column, keys: Column, namespac
     return check(content.cast("binary"), signature, keys)
 
 
+def gpg_signature_problem(content: Column, signature: Column, keys: Column, email: Column) -> Column:
+    """``gpg_problem`` over columns: content (bytes), signature, keys (array of armoured keys) and the signer's address."""
+
+    @F.pandas_udf("string")
+    def check(c: pd.Series, s: pd.Series, k: pd.Series, e: pd.Series) -> pd.Series:
+        return pd.Series([gpg_problem(bytes(a), b, list(x) if x is not None else [], y) for a, b, x, y in zip(c, s, k, e, strict=True)], dtype=object)
+
+    return check(content.cast("binary"), signature, keys, email)
+
+
+def verified(signed: DataFrame, keys: DataFrame, rules: dict, forge_keys: dict[str, list[str]] | None = None) -> DataFrame:
+    """``repo_id, hash, valid, problem`` of commits or tags (repo_id, hash, raw, signature, email of the signer).
+
+    keys: email, ssh_keys, gpg_keys of identities; the signer's own keys count only. rules: as of
+    ``policy.RULES``; SSH signatures must show what these ask for. forge_keys: GPG keys of forges by the
+    address they commit with. Rows without a signature are left out; of signers without keys none is valid.
+    """
+    forge = [F.when(F.col("email") == e, F.array(*map(F.lit, k))) for e, k in (forge_keys or {}).items()]
+    rows = signed.where("signature is not null and signature != ''").select("repo_id", "hash", "raw", "signature", "email")
+    rows = rows.join(keys.select("email", "ssh_keys", "gpg_keys").dropDuplicates(["email"]), "email", "left").withColumn("gpg_keys", F.coalesce(*forge, "gpg_keys"))
+    content = F.when(F.decode("raw", "ISO-8859-1").startswith("tree "), signed_commit(F.col("raw"))).otherwise(signed_tag(F.col("raw")))
+    rows = rows.withColumn("content", content)
+    kind = F.col("signature")
+    options = {"allow_sha256": bool(rules.get("allow_ssh_sha256")), "present": bool(rules.get("require_ssh_user_present")), "verified": bool(rules.get("require_ssh_user_verified"))}
+    ssh, gpg = rows.where(kind.startswith(BEGIN)), rows.where(kind.startswith("-----BEGIN PGP SIGNATURE-----"))
+    other = rows.where(~kind.startswith(BEGIN) & ~kind.startswith("-----BEGIN PGP SIGNATURE-----"))
+    found = ssh.withColumn("problem", signature_problem(F.col("content"), kind, F.col("ssh_keys"), **options))
+    found = found.unionByName(gpg.withColumn("problem", gpg_signature_problem(F.col("content"), kind, F.col("gpg_keys"), F.col("email"))))
+    found = found.unionByName(other.withColumn("problem", F.lit("unknown signature")))
+    return found.select("repo_id", "hash", F.col("problem").isNull().alias("valid"), "problem")
+
+
+def _plain(raw: Column) -> Column:
+    """Bytes as text of a character each, so that what is not UTF-8 stays as it is."""
+    return F.decode(raw, "ISO-8859-1")
+
+
+def _encoded(text: Column) -> Column:
+    return F.encode(text, "ISO-8859-1")
+
+
 def signed_commit(raw: Column) -> Column:
     """The bytes of a commit that its signature covers: all but the gpgsig header."""
-    return F.regexp_replace(raw.cast("string"), r"(?s)\A((?:(?!\n\n).)*?\n)gpgsig(?:-sha256)? [^\n]*\n(?: [^\n]*\n)*", "$1").cast("binary")
+    return _encoded(F.regexp_replace(_plain(raw), r"(?s)\A((?:(?!\n\n).)*?\n)gpgsig(?:-sha256)? [^\n]*\n(?: [^\n]*\n)*", "$1"))
 
 
 def signed_tag(raw: Column) -> Column:
     """The bytes of a tag that its signature covers: all before the armour."""
-    return F.regexp_replace(raw.cast("string"), r"(?s)-----BEGIN (?:SSH|PGP) SIGNATURE-----.*\z", "").cast("binary")
+    return _encoded(F.regexp_replace(_plain(raw), r"(?s)-----BEGIN (?:SSH|PGP) SIGNATURE-----.*\z", ""))
 
 
 # --- merges -----------------------------------------------------------------------------------------

@@ -356,6 +356,53 @@ def history_first_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.sightings(commits, _tips(commits), hits).withColumn("first_commits", F.array_join("first_commits", ","))
 
 
+# Merges: every third turn from the third on has the turn three before it as a second parent. Two branches: the last
+# turn, and the last one that is no multiple of three, so that each has commits which the other lacks.
+_EDGES = f"(SELECT repo_id, hash, repo_id || '-' || p AS parent FROM (SELECT repo_id, hash, unnest(CASE WHEN turn >= 3 AND turn % 3 = 0 THEN [turn - 2, turn - 3] WHEN turn > 0 THEN [turn - 1] ELSE [] END) AS p FROM {_COMMITS}))"
+_TWO_TIPS = f"""(SELECT repo_id, 'main' AS name, max_by(hash, turn) AS hash FROM {_COMMITS} GROUP BY repo_id
+UNION ALL SELECT repo_id, 'side', max_by(hash, turn) FROM {_COMMITS} WHERE turn % 3 <> 0 GROUP BY repo_id)"""
+
+
+def _merged_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn, name = F.col("turn"), lambda t: F.concat_ws("-", "repo_id", t.cast("string"))
+    parents = F.when((turn >= 3) & (turn % 3 == 0), F.array(name(turn - 2), name(turn - 3))).when(turn > 0, F.array(name(turn - 1))).otherwise(F.array().cast("array<string>"))
+    return _commits(spark, sf_dir).withColumn("parents", parents)
+
+
+def _two_tips(commits: DataFrame) -> DataFrame:
+    last = lambda d, name: d.groupBy("repo_id").agg(F.max_by("hash", "turn").alias("hash")).select("repo_id", F.lit(name).alias("name"), "hash")
+    return last(commits, "main").unionByName(last(commits.where("turn % 3 != 0"), "side"))
+
+
+_REACH = f"reach AS (SELECT repo_id, name, hash FROM {_TWO_TIPS} UNION SELECT r.repo_id, r.name, e.parent FROM reach r JOIN {_EDGES} e ON r.hash = e.hash)"
+
+
+@query(f"WITH RECURSIVE {_REACH} SELECT repo_id, hash FROM (SELECT DISTINCT repo_id, hash FROM {_COMMITS}) WHERE hash NOT IN (SELECT hash FROM reach)")
+def dangling_with_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    commits = _merged_commits(spark, sf_dir)
+    return history.dangling(commits, _two_tips(commits)).select("repo_id", "hash")
+
+
+_HEIGHT = f"height AS (SELECT hash, 0 AS h FROM {_COMMITS} UNION SELECT e.hash, h + 1 FROM height JOIN {_EDGES} e ON e.parent = height.hash)"
+
+
+@query(f"WITH RECURSIVE {_HEIGHT} SELECT c.repo_id, c.hash, max(h)::BIGINT AS generation FROM height JOIN {_COMMITS} c USING (hash) GROUP BY c.repo_id, c.hash")
+def generations_with_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.generations(_merged_commits(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {_REACH}, {_HEIGHT}, age AS (SELECT hash, max(h) AS age FROM height GROUP BY hash), hits AS (SELECT repo_id, hash, match_key FROM {_KEYS}),
+fresh AS (SELECT h.*, NOT EXISTS (SELECT 1 FROM {_EDGES} e JOIN hits b ON b.hash = e.parent AND b.match_key = h.match_key WHERE e.hash = h.hash) AS fresh FROM hits h)
+SELECT r.repo_id, r.name AS branch, match_key, coalesce(array_to_string(list_sort(list(r.hash) FILTER (WHERE fresh)), ','), '') AS first_commits, max_by(r.hash, (age, r.hash)) AS last_commit, max_by(r.hash, (age, r.hash)) = any_value(t.hash) AS on_tip
+FROM reach r JOIN fresh f ON f.hash = r.hash JOIN age a ON a.hash = r.hash JOIN {_TWO_TIPS} t ON t.repo_id = r.repo_id AND t.name = r.name GROUP BY r.repo_id, r.name, match_key""")
+def history_with_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last sight on two branches of histories with merges."""
+    commits = _merged_commits(spark, sf_dir)
+    keys = F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda w: w.isin("the", "of", "que")))
+    hits = commits.select("repo_id", "hash", F.explode(keys).alias("match_key"))
+    return history.sightings(commits, _two_tips(commits), hits).withColumn("first_commits", F.array_join("first_commits", ","))
+
+
 @query(f"SELECT repo_id, hash, turn::BIGINT AS generation FROM {_COMMITS}")
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.generations(_commits(spark, sf_dir))
@@ -428,7 +475,8 @@ SELECT repo_id, rule, hash AS object, detail FROM (
   SELECT repo_id, hash, 'unknown committer' AS rule, email AS detail FROM c WHERE role = 'system'
   UNION ALL SELECT repo_id, hash, 'unsigned commit', '' FROM c WHERE turn % 3 = 0
   UNION ALL SELECT repo_id, hash, 'unknown signature', '' FROM c WHERE turn % 3 = 1
-  UNION ALL SELECT repo_id, hash, 'gpg signatures are not allowed', '' FROM c WHERE turn % 3 = 2)""")
+  UNION ALL SELECT repo_id, hash, 'gpg signatures are not allowed', '' FROM c WHERE turn % 3 = 2
+  UNION ALL SELECT repo_id, hash, 'signature not checked', '' FROM c WHERE turn % 3 = 2)""")
 def commit_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles are committers, of whom all but ``system`` are known; signatures go by turn."""
     kind = F.when(F.col("turn") % 3 == 0, "").when(F.col("turn") % 3 == 1, "?").otherwise("-----BEGIN PGP SIGNATURE-----")

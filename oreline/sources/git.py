@@ -17,6 +17,18 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 BATCH = 16 << 20
 
 
+def repo_ids(paths: list[str]) -> dict[str, str]:
+    """An id for each repository: its organisation's folder and its own, and as many folders above as tell all apart."""
+    parts = {p: os.path.abspath(p).strip("/").split("/") for p in paths}
+    out = {}
+    for p, own in parts.items():
+        n = 2
+        while n < len(own) and any(other[-n:] == own[-n:] for q, other in parts.items() if os.path.abspath(q) != os.path.abspath(p)):
+            n += 1
+        out[p] = "/".join(own[-n:])
+    return out
+
+
 class _Repo(InputPartition):
     def __init__(self, repo_id: str, path: str):
         super().__init__(repo_id)
@@ -24,15 +36,15 @@ class _Repo(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    def __init__(self, paths: list[str], skip: bool):
+        self.paths, self.skip = paths, skip
 
     def partitions(self):
-        return [_Repo(os.path.basename(p.rstrip("/")), p) for p in self.paths]
+        return [_Repo(name, p) for p, name in repo_ids(self.paths).items()]
 
     def read(self, partition) -> Iterator[tuple]:
         """All objects, loose and packed, reachable or not, each once."""
-        run = subprocess.Popen(["git", "-c", "safe.directory=*", "-C", partition.path, "cat-file", "--batch-all-objects", "--batch", "--unordered"], stdout=subprocess.PIPE)
+        run = subprocess.Popen(["git", "-c", "safe.directory=*", "-C", partition.path, "cat-file", "--batch-all-objects", "--batch", "--unordered"], stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
         with run:
             while head := run.stdout.readline():
                 name, kind, size = head.decode().split()
@@ -40,11 +52,15 @@ class _Reader(DataSourceReader):
                 run.stdout.read(1)
                 yield partition.repo_id, name, kind, data
         if run.returncode:
-            raise OSError(f"git cat-file failed in {partition.path}")
+            said = f"git cat-file failed in {partition.path}"
+            if not self.skip:
+                raise OSError(said)
+            yield partition.repo_id, None, "error", said.encode()
 
 
 class GitObjects(DataSource):
-    """``spark.read.format("git_objects").option("paths", "a:b").load()``"""
+    """``spark.read.format("git_objects").option("paths", "a:b").load()``; with option ``failing`` = ``skip`` a
+    repository that cannot be read gives a row of kind ``error`` instead of ending the job."""
 
     @classmethod
     def name(cls) -> str:
@@ -54,13 +70,18 @@ class GitObjects(DataSource):
         return "repo_id string, hash string, kind string, data binary"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader([p for p in self.options.get("paths", "").split(os.pathsep) if p])
+        return _Reader([p for p in self.options.get("paths", "").split(os.pathsep) if p], self.options.get("failing") == "skip")
 
 
-def objects(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``repo_id, hash, kind, data`` of all objects of repositories."""
+def objects(spark: SparkSession, paths: list[str], failing: str = "stop") -> DataFrame:
+    """``repo_id, hash, kind, data`` of all objects of repositories. failing: ``stop``, or ``skip`` those that cannot be read."""
     spark.dataSource.register(GitObjects)
-    return spark.read.format("git_objects").option("paths", os.pathsep.join(paths)).load()
+    return spark.read.format("git_objects").option("paths", os.pathsep.join(paths)).option("failing", failing).load()
+
+
+def errors(found: DataFrame) -> DataFrame:
+    """``repo_id, problem`` of the repositories that were skipped."""
+    return found.where("kind = 'error'").select("repo_id", F.col("data").cast("string").alias("problem"))
 
 
 def blobs(found: DataFrame) -> DataFrame:
@@ -104,45 +125,88 @@ def tags(found: DataFrame) -> DataFrame:
 
 
 def tree_entries(found: DataFrame) -> DataFrame:
-    """``repo_id, tree_hash, ord, mode, name, hash``: the entries of trees in stored order."""
+    """``repo_id, tree_hash, ord, mode, name, hash, name_bytes``: the entries of trees in stored order. Names that are
+    not UTF-8 read with replacement characters; ``name_bytes`` has them as they are."""
     import pyarrow as pa
 
     def parse(batches):
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             for repo, tree, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 at = n = 0
                 while at < len(data):
                     blank, zero = data.index(b" ", at), data.index(b"\0", at)
-                    row = (repo, tree, n, data[at:blank].decode(), data[blank + 1 : zero].decode(errors="replace"), data[zero + 1 : zero + 21].hex())
+                    row = (repo, tree, n, data[at:blank].decode(), data[blank + 1 : zero].decode(errors="replace"), data[zero + 1 : zero + 21].hex(), bytes(data[blank + 1 : zero]))
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
                     at, n = zero + 21, n + 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()), strict=True)], names=["repo_id", "tree_hash", "ord", "mode", "name", "hash"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.binary()), strict=True)], names=["repo_id", "tree_hash", "ord", "mode", "name", "hash", "name_bytes"])
 
-    return found.where("kind = 'tree'").select("repo_id", "hash", "data").mapInArrow(parse, "repo_id string, tree_hash string, ord int, mode string, name string, hash string")
+    return found.where("kind = 'tree'").select("repo_id", "hash", "data").mapInArrow(parse, "repo_id string, tree_hash string, ord int, mode string, name string, hash string, name_bytes binary")
 
 
 def refs(spark: SparkSession, paths: list[str], prefix: str = "refs/") -> DataFrame:
     """``repo_id, name, hash`` of the refs that start with ``prefix``; symbolic ones (HEAD of a remote) are left out."""
-    rows = []
+    rows, names = [], repo_ids(paths)
     for path in paths:
         said = subprocess.run(["git", "-c", "safe.directory=*", "-C", path, "for-each-ref", "--format=%(refname) %(objectname) %(symref)", prefix], capture_output=True, text=True, check=True).stdout
         for line in said.splitlines():
             name, value, *symbolic = line.split(" ")
             if not any(symbolic):
-                rows.append((os.path.basename(path.rstrip("/")), name, value))
+                rows.append((names[path], name, value))
     return spark.createDataFrame(rows, "repo_id string, name string, hash string")
 
 
+class _Files(InputPartition):
+    def __init__(self, root: str, names: list[str]):
+        super().__init__(names)
+        self.root, self.names = root, names
+
+
+class _FileReader(DataSourceReader):
+    def __init__(self, root: str):
+        self.root = root
+
+    def partitions(self):
+        """Paths are listed here, and files read where they are needed, in parts of ``BATCH`` bytes or 4096 files."""
+        parts, part, size = [], [], 0
+        for folder, below, files in os.walk(self.root):
+            below[:] = sorted(d for d in below if d != ".git" and not os.path.islink(os.path.join(folder, d)))
+            for name in sorted(files):
+                path = os.path.join(folder, name)
+                if os.path.islink(path) or not os.path.isfile(path):
+                    continue
+                part.append(os.path.relpath(path, self.root))
+                size += os.path.getsize(path)
+                if size >= BATCH or len(part) >= 4096:
+                    parts.append(_Files(self.root, part))
+                    part, size = [], 0
+        return [*parts, _Files(self.root, part)]
+
+    def read(self, partition) -> Iterator[tuple]:
+        for name in partition.names:
+            with open(os.path.join(partition.root, name), "rb") as f:
+                yield name, f.read()
+
+
+class WorkingTree(DataSource):
+    """``spark.read.format("working_tree").load(folder)``: every file below a folder, hidden ones too."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "working_tree"
+
+    def schema(self) -> str:
+        return "path string, data binary"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _FileReader(os.path.abspath(self.options["path"]))
+
+
 def working_tree(spark: SparkSession, path: str) -> DataFrame:
-    """``path`` (relative), ``data`` of the files below a folder, without ``.git`` and symlinks; files are read only where needed."""
-    root = os.path.abspath(path)
-    found = [os.path.join(d, f) for d, subs, files in os.walk(root) for f in files if ".git" not in os.path.relpath(d, root).split(os.sep) and not os.path.islink(os.path.join(d, f))]
-    if not found:
-        return spark.createDataFrame([], "path string, data binary")
-    files = spark.read.format("binaryFile").load([f"file://{f}" for f in found]) if len(found) < 1000 else spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"file://{root}").where(~F.col("path").rlike(r"/\.git/"))
-    return files.select(F.substr(F.regexp_replace("path", "^file:/*", "/"), F.lit(len(root) + 2)).alias("path"), F.col("content").alias("data"))
+    """``path`` (relative), ``data`` of the files below a folder, without ``.git`` folders and symlinks."""
+    spark.dataSource.register(WorkingTree)
+    return spark.read.format("working_tree").load(path)
 
 
 def root_of(path: str) -> str:

@@ -157,6 +157,22 @@ def exclusive(**flags: object) -> None:
         raise ValueError("options exclude each other: " + ", ".join(given))
 
 
+def checked_options(match: str = "normalized", *, terms: int = 0, dorks: int = 0, files: int = 0, anchored: bool = False, lines: int = 0, columns: int = 50, only_matching: bool = False, history: bool = False, branches: bool = False, json: bool = False, colour: bool = False) -> None:
+    """Whether the options of a search go together; an error says which do not."""
+    if not terms and not dorks and not files:
+        raise ValueError("nothing to search: give terms, dorks or a file of terms")
+    if dorks and anchored:
+        raise ValueError("dorks are not anchored")
+    exclusive(history=history, branches=branches)
+    exclusive(json=json, colour=colour)
+    if only_matching and lines:
+        raise ValueError("lines of context need context")
+    if lines < 0 or columns < 0:
+        raise ValueError("context must not be negative")
+    if match not in ("exact", "normalized", "typo-only", "normalized-and-typo"):
+        raise ValueError(f"unknown match mode '{match}'")
+
+
 def read_terms(text: str) -> list[str]:
     """Terms of a file or list: separated by line feeds or commas, trimmed; blank ones are left out."""
     return [t for t in (x.strip() for x in re.split("[\n,]", text)) if t]

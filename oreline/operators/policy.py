@@ -216,8 +216,11 @@ def after_candidates(commits: DataFrame, refs: DataFrame, protected: list[str])
     return found.join(named, ["repo_id", "hash"], "left").select("repo_id", F.col("hash").alias("sha1"), one.alias("branch")).orderBy(F.asc_nulls_last("branch"), "sha1")
 
 
-def snapshot(refs: DataFrame, protected: list[str]) -> DataFrame:
-    """``repo_id, kind, ref, hash`` of tags and protected branches: what is kept to compare later."""
+def snapshot(refs: DataFrame, protected: list[str], sums: DataFrame | None = None) -> DataFrame:
+    """``repo_id, kind, ref, hash`` of tags and protected branches: what is kept to compare later. With sums
+    (repo_id, hash, sum) also ``sha512``."""
+    if sums is not None:
+        return snapshot(refs, protected).join(sums.select("repo_id", "hash", F.col("sum").alias("sha512")), ["repo_id", "hash"], "left").select("repo_id", "kind", "ref", "hash", "sha512")
     name = F.regexp_replace("name", "^refs/(?:remotes/[^/]+|heads)/", "")
     kind = F.when(F.col("name").startswith("refs/tags/"), "tag").when(F.col("name").rlike("^refs/(remotes/[^/]+|heads)/") & name.isin(protected), "branch")
     return refs.select("repo_id", kind.alias("kind"), F.col("name").alias("ref"), "hash").where("kind is not null")

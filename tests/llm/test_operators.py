@@ -221,6 +221,58 @@ def test_language_evidence_is_fused(spark):
     assert (got[60], got[61], got[62]) == ("en", "de", "de")
 
 
+def slow_languages(rows, table, languages):
+    """lang, posterior and accepted of rows (text, declared, host, suffix), by loops over all of them."""
+    k, seen = len(languages) + 1, []
+    for text, declared, host, suffix in rows:
+        n, ll = langid.evidence(text, table)
+        p = np.exp(np.array(ll) - max(ll))
+        d = (declared or "")[:2].lower()
+        seen.append((n, np.array(ll), p / p.sum(), d if d in languages else "", host, suffix))
+    total = lambda keep: sum((x[2] for x in seen if x[0] and keep(x)), np.zeros(k))
+    whole = (total(lambda x: True) + 1) / (total(lambda x: True).sum() + k)
+    out = []
+    for n, ll, p, d, host, suffix in seen:
+        up = total(lambda x: x[5] == suffix)
+        up = (up + langid.BETA * whole) / (up.sum() + langid.BETA)
+        own = total(lambda x: (x[4], x[5]) == (host, suffix)) - (p if n else 0)
+        prior = (np.maximum(own, 0) + langid.ALPHA * up) / (max(own.sum(), 0) + langid.ALPHA)
+        said = np.zeros(k)
+        if d:
+            every = total(lambda x: x[3] != "")
+            said = np.log((total(lambda x: x[3] == d) + 0.5) / (every + 0.5 * k))
+        logs = ll + np.log(prior) + said
+        odds = np.exp(logs - logs.max())
+        best = int(np.argmax(odds))
+        lang = langid.NONE if not n else (*languages, langid.NONE)[best]
+        out.append((lang, odds[best] / odds.sum(), lang != langid.NONE and odds[best] / odds.sum() >= langid.LEAST))
+    return out
+
+
+def test_languages_are_those_of_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(documents(spark, ODD, ids=[10_000 + k for k in range(len(ODD))], langs=["en", None] * 5).select("doc_id", "text", "lang", "source", "n_chars"))
+    table = langid.fit(docs, "text", "lang", langid.LANGUAGES)
+    rows = docs.toPandas().sort_values("doc_id")
+    want = slow_languages([(t, d if isinstance(d, str) else None, s, "") for t, d, s in zip(rows.text, rows.lang, rows.source, strict=True)], table, langid.LANGUAGES)
+    got = langid.identify(docs, table=table, keep=("doc_id",)).orderBy("doc_id").collect()
+    assert [(x._lid.lang, x._lid.accepted) for x in got] == [(w[0], w[2]) for w in want]
+    assert np.allclose([x._lid.posterior for x in got], [w[1] for w in want])
+
+
+def test_languages_of_pages_are_those_of_brute_force(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = []
+    for url, html in pages.orderBy("page_id").select("url", "html").collect():
+        html, host = html or "", (re.search(r"://([^/?#]*)", url or "") or [None, ""])[1]
+        text = re.sub(r"<[^>]*>|&[a-zA-Z#0-9]+;", " ", re.sub(r"(?is)<(script|style)\b[^>]*>.*?</\1>", " ", html))
+        declared = re.search(r"(?i)<html[^>]*\blang=[\"']?([A-Za-z]{2})", html)
+        rows.append((text, declared and declared[1], host, host.rsplit(".", 1)[-1]))
+    frame = spark.createDataFrame([(k, t, d or "") for k, (t, d, _, _) in enumerate(rows)], "k long, text string, lang string")
+    want = slow_languages(rows, langid.fit(frame, "text", "lang", langid.LANGUAGES), langid.LANGUAGES)
+    got = langid.of_pages(pages).orderBy("page_id").collect()
+    assert [(x.lang, x.accepted) for x in got] == [(w[0], w[2]) for w in want]
+
+
 def test_language_of_pages_by_markup(spark):
     pages = spark.createDataFrame([(k, f"http://a.de/{k}", f"<html lang='de'><body>der und nicht eine {k}</body>") for k in range(20)] + [(99, None, None)], "page_id long, url string, html string")
     got = {r.page_id: r for r in langid.of_pages(pages, ("de", "en")).collect()}
@@ -240,6 +292,32 @@ def test_quality_against_labels_and_odd_texts(spark):
     assert quality.scored(documents(spark, ODD).limit(0)).count() == 0
 
 
+def test_quality_is_that_of_brute_force(spark):
+    """Posterior and score of every row, votes and features counted here."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(documents(spark, ODD, ids=[10_000 + k for k in range(len(ODD))]).select("doc_id", "text"))
+    rows = docs.orderBy("doc_id").collect()
+    counts = {}
+    for r in rows:
+        v = quality.votes(quality.measures(r.text))
+        counts[v] = counts.get(v, 0) + 1
+    good, (_, weights) = quality.em(dict(sorted(counts.items()))), quality.train(docs)
+    got = quality.scored(docs).orderBy("doc_id").collect()
+    for r, x in zip(rows, got, strict=True):
+        raw = (r.text or "").encode()
+        shape = re.sub(rb"[A-Z]", b"A", re.sub(rb"[a-z\x80-\xff]", b"a", re.sub(rb"[0-9]", b"0", raw)))
+        voted, bag = quality.votes(quality.measures(r.text)), {}
+        for tag, words in ((1, re.findall(rb"[^\x20\x09-\x0D]+", raw.lower())), (2, re.findall(rb"[^\x20\x09-\x0D]+", shape))):
+            for w in words:
+                at = zlib.crc32(w, tag) % quality.WEIGHTS
+                bag[at] = bag.get(at, 0) + 1 / len(words)
+        for tag, texts in ((3, [b"%d:%d" % (j, v) for j, v in enumerate(voted)]), (4, [b"bias"])):
+            for t in texts:
+                at = zlib.crc32(t, tag) % quality.WEIGHTS
+                bag[at] = bag.get(at, 0) + 1
+        score = 1 / (1 + np.exp(-np.clip(sum(weights[at] * c**0.5 for at, c in bag.items()), -30, 30)))
+        assert abs(x._quality.posterior - good[voted]) < 1e-9 and abs(x._quality.score - score) < 1e-6 and x._quality.keep == (x._quality.score >= quality.LEAST)
+
+
 def test_quality_features_take_whole_words():
     one, other = (set(quality.features("q" * 64 + end)[0].tolist()) for end in ("abc", "xyz"))
     assert one != other
@@ -323,6 +401,47 @@ def test_url_rules_and_model(spark):
     assert urlfilter.judge(pages.limit(0)).count() == 0
 
 
+def test_url_verdicts_are_those_of_brute_force(spark):
+    """Models counted, smoothed and calibrated here, over bytes."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    urls = sorted({r.url for r in pages.collect() if r.url is not None})
+    sides = {v: [u for u in urls if slow_rule(u)[3] == v] for v in ("allow", "block")}
+
+    def framed(u):
+        return [256, *u.encode(), 257]
+
+    def model(side):
+        seen = {}
+        for k, u in enumerate(side):
+            if k % 5:
+                x = framed(u)
+                for i in range(1, len(x)):
+                    for n in range(min(4, i) + 1):
+                        row = seen.setdefault(tuple(x[i - n : i]), {})
+                        row[x[i]] = row.get(x[i], 0) + 1
+        return seen
+
+    def score(seen, u):
+        x, total = framed(u), 0.0
+        for i in range(1, len(x)):
+            p = 1 / 256
+            for n in range(min(4, i) + 1):
+                if row := seen.get(tuple(x[i - n : i])):
+                    p = (row.get(x[i], 0) + len(row) * p) / (sum(row.values()) + len(row))
+            total += np.log(p)
+        return total / (len(x) - 1)
+
+    models = {v: model(side) for v, side in sides.items()}
+    ratio = lambda u: score(models["allow"], u) - score(models["block"], u)
+    held = sorted((ratio(u), v) for v, side in sides.items() for k, u in enumerate(side) if not k % 5)
+    cuts = [a[0] if not k else (a[0] + held[k - 1][0]) / 2 for k, a in enumerate(held)]
+    share = lambda c, v: np.mean([(s >= c) == (v == "allow") for s, x in held if x == v])
+    best = max([(share(c, "allow") + share(c, "block"), -abs(c), c) for c in cuts])[2]
+    for r in urlfilter.judge(pages).collect():
+        if r._url.rule is None and r.url and abs(r._url.ratio - best) > 1e-6:
+            assert abs(r._url.ratio - ratio(r.url)) < 1e-9 and r._url.verdict == ("allow" if ratio(r.url) >= best else "block")
+
+
 def test_url_models_learn_whole_urls():
     ratio = urlfilter.fit([f"http://a/{k}{'x' * 2500}good" for k in range(10)], [f"http://a/{k}{'x' * 2500}evil" for k in range(10)])
     assert ratio.good.counts["goo"]["d"] == 8 and ratio.bad.counts["evi"]["l"] == 8

@@ -253,9 +253,13 @@ def nearest(
                 part = batch.slice(at, 256)
                 q = _unpacked(part.column(1), np.float64)
                 score = q @ known.value.T
-                k = min(top, score.shape[1])
-                # Some of the best may be the query's own: one more makes sure.
-                least = -np.partition(-score, k, 1)[:, k] - MARGIN * error if score.shape[1] > k else np.full(len(q), -np.inf)
+                # The entry of the sample that ``rerank`` of all are expected to reach; if that is better than the best
+                # ``top`` and the query's own, what may be as good as these by the error of its code.
+                k = max(top, int(rerank * len(known.value) / n))
+                if score.shape[1] > k:
+                    least = -np.partition(-score, k, 1)[:, k] - MARGIN * error * (k == top)
+                else:
+                    least = np.full(len(q), -np.inf)
                 out: list[tuple] = []
                 for own, v, low, of in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), least.tolist(), shared.value.probes(q, probes), strict=True):
                     goes: dict[int, list[int]] = {}

@@ -37,6 +37,8 @@ SIMILARITY = 0.8
 BLOCK = 2048
 #: Keys of rows that go up to which they are broadcast; beyond, a join by shuffle takes them away.
 SMALL = 1_000_000
+#: Rows of one print from which, at least, the print goes to the rows.
+HOT = 200
 #: What a signature row and a compared pair cost, in microseconds.
 ROW_US, PAIR_US = 3.0, 0.01
 #: Odd factors that make further words of a wide print from a shingle's hash.
@@ -308,11 +310,11 @@ def _grouped(docs: DataFrame, id_: Column, text: Column, width: int, bits: int,
     rows = docs.select(id_.alias("doc_id"), F.xxhash64(text).alias("text_key"), fingerprint_column(text, width, bits).alias("print"))
     rows = cut(rows.select("doc_id", "text_key", "print.*"), "prints")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    prints = cut(rows.groupBy("node").agg(F.min(row).alias("least"), F.first("fp").alias("fp")), "distinct")
+    prints = cut(rows.groupBy("node").agg(F.min(row).alias("least"), F.first("fp").alias("fp"), F.count("*").alias("n")), "distinct")
     found = connected_components(near_links(prints, bits, radius, accept), "a", "b").withColumnRenamed("node", "member")
     least = found.join(prints, found.member == prints.node).groupBy("root").agg(F.min("least").alias("least_all"))
-    named = prints.select("node", "least").join(found.join(least, "root"), F.col("node") == F.col("member"), "left")
-    return rows.select("doc_id", "node"), named.select("node", F.coalesce("root", "node").alias("component"), F.coalesce("least_all", "least").alias("least"))
+    named = prints.select("node", "least", "n").join(found.join(least, "root"), F.col("node") == F.col("member"), "left")
+    return rows.select("doc_id", "node"), named.select("node", "n", F.coalesce("root", "node").alias("component"), F.coalesce("least_all", "least").alias("least"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, bits: int = BITS, radius: int = 4, accept: int | None = None) -> DataFrame:
@@ -324,7 +326,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Other columns of ``docs`` are not read. An empty table gives no rows.
     """
     rows, named = _grouped(docs, F.col(id_col), F.col(text_col), width, bits, radius, radius if accept is None else accept)
-    return rows.join(named, "node").select("doc_id", "node", F.col("least.doc_id").alias("component_id"), "component")
+    named = cut(named, "named")
+    # A print of many rows goes to the rows, and at most ``SMALL`` prints have so many; the rows of others meet theirs by a shuffle.
+    many = max(HOT, (named.agg(F.sum("n")).first()[0] or 0) // SMALL)
+    hot = named.where(F.col("n") > many)
+    if hot.isEmpty():
+        found = rows.join(named, "node")
+    else:
+        cold = rows.join(F.broadcast(hot.select("node")), "node", "left_anti")
+        found = rows.join(F.broadcast(hot), "node").unionByName(cold.join(named.where(F.col("n") <= many), "node"))
+    return found.select("doc_id", "node", F.col("least.doc_id").alias("component_id"), "component")
 
 
 def profile_column(text: Column, width: int, bits: int) -> Column:

@@ -6,6 +6,7 @@ from oreline.functions import variations as V
 from oreline.functions.charset import CharacterSet as C
 from oreline.functions.charset import Match as M
 from oreline.operators.filters import Dork, PathFilter, classify, owner_and_repo, read_terms
+from oreline.operators import search as search_module
 from oreline.operators.search import Parameters, Search
 
 CASES = [
@@ -73,3 +74,16 @@ def test_paths(spark):
     assert Dork.parse(".go:term") == Dork("extension", ".go", "term") and read_terms(" a\n\n,b ") == ["a", "b"]
     urls = spark.createDataFrame([(u,) for u in ("https://github.com/Foo/Bar.git", "https://github.com/Foo/", "http://github.com/Foo")], "u string")
     assert [tuple(r.x) if r.x else None for r in urls.select(owner_and_repo(urls.u).alias("x")).collect()] == [("Foo", "Bar"), ("Foo", None), None]
+
+
+@pytest.mark.parametrize("kind,begin,end,terms", [(C.PACKAGE, True, True, ["there", "mail-server"]), (C.PACKAGE, False, False, ["ab", "bcd"]), (C.DOMAIN, False, True, ["example.com"])])
+def test_many_keys_are_joined_with_their_table(spark, monkeypatch, kind, begin, end, terms):
+    """The same rows whether keys are a set in the plan, a broadcast table or a shuffled one."""
+    texts = ["the tehre there! mail--server mailserver", "xabcdx ab-cd abcd", "www.exmaple.com example.org", "", "émail-srever\nthere"]
+    search = Search(terms, Parameters(M.BOTH, kind, begin, end, tlds=("com", "org")))
+    rows = lambda: sorted(map(tuple, search.match_permissive(spark, texts).collect()))
+    few = rows()
+    monkeypatch.setattr(search_module, "LITERAL_KEYS", 0)
+    assert rows() == few and few
+    monkeypatch.setattr(search_module, "BROADCAST_BYTES", 0)
+    assert rows() == few

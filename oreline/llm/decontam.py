@@ -160,33 +160,39 @@ def automata(benchmark: DataFrame, width: int = 13, id_col: str = "item_id", tex
     yield Automaton.of(part, width)
 
 
-def _scan(shared, kind: pa.DataType):
-    @F.arrow_udf("struct<n_words:long,spans:array<struct<start:long,end:long>>,items:array<string>>")
+_MATCH = "struct<n_words:long,spans:array<struct<start:long,end:long>>,items:array<string>,clean:string>"
+
+
+def _scan(shared, clean: bool):
+    kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string())), ("clean", pa.string())])
+
+    @F.arrow_udf(_MATCH)
     def scan(texts: pa.Array, before: pa.Array) -> pa.Array:
         machine, out = shared.value, []
         number = machine.vocabulary.get
         for text, old in zip(texts, before.to_pylist(), strict=True):
-            run = words(text.as_py())
+            text = text.as_py()
+            run = words(text)
             spans, items = machine.hits(list(map(number, run)))
             if old:
                 spans, items = merged([(s["start"], s["end"]) for s in old["spans"]] + spans), items | set(old["items"])
-            out.append({"n_words": len(run), "spans": [{"start": a, "end": b} for a, b in spans], "items": sorted(items)})
+            out.append({"n_words": len(run), "spans": [{"start": a, "end": b} for a, b in spans], "items": sorted(items), "clean": without_spans(text, spans) if clean and spans else None})
         return pa.array(out, kind)
 
-    return scan
+    return scan.asNondeterministic()  # or the optimizer runs it once for a filter and again for the columns
 
 
-def matched(rows: DataFrame, text: str, benchmark: DataFrame, width: int) -> DataFrame:
-    """``rows`` with ``m``: a text's number of words, the merged word spans inside window occurrences, the items hit (sorted)."""
-    spark, before = rows.sparkSession, None
-    kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
-    rows = rows.withColumn("m", F.lit(None).cast("struct<n_words:long,spans:array<struct<start:long,end:long>>,items:array<string>>"))
+def matched(rows: DataFrame, text: str, benchmark: DataFrame, width: int, clean: bool = False) -> DataFrame:
+    """``rows`` with ``m``: a text's number of words, the merged word spans inside window occurrences, the items hit
+    (sorted) and, with ``clean``, the text without the spans, null where there are none."""
+    before = None
+    rows = rows.withColumn("m", F.lit(None).cast(_MATCH))
     for machine in automata(benchmark, width):
         if before is not None:
             rows = cut(rows, "pass")
             before.unpersist()
-        shared = before = spark.sparkContext.broadcast(machine)
-        rows = rows.withColumn("m", _scan(shared, kind)(F.col(text), F.col("m")))
+        before = rows.sparkSession.sparkContext.broadcast(machine)
+        rows = rows.withColumn("m", _scan(before, clean)(F.col(text), F.col("m")))
     return rows
 
 
@@ -239,18 +245,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, share:
     follows the shortened texts. Nulls and empty texts stay, repeated rows each; an empty benchmark
     changes nothing and an empty table gives no rows.
     """
-
-    @F.arrow_udf("string")
-    def shortened(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        return pa.array([without_spans(t, [(s["start"], s["end"]) for s in found]) if found else None for t, found in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
-
     rows, names = numbered(docs)
     text = names[text_col]
-    rows = matched(rows, text, benchmark, width).where(~_reaches(_n_hit(), F.col("m.n_words"), share))
-    rows = rows.withColumn("clean", shortened(F.when(F.size("m.spans") > 0, F.col(text)), F.col("m.spans")))
-    changed = {text: F.coalesce(F.col("clean"), F.col(text))}
+    rows = matched(rows, text, benchmark, width, clean=True).where(~_reaches(_n_hit(), F.col("m.n_words"), share))
+    changed = {text: F.coalesce(F.col("m.clean"), F.col(text))}
     if length_col and (length := names.get(length_col)):
-        changed[length] = F.when(F.col("clean").isNull(), F.col(length)).otherwise(F.length("clean")).cast(docs.schema[length_col].dataType)
+        changed[length] = F.when(F.col("m.clean").isNull(), F.col(length)).otherwise(F.length("m.clean")).cast(docs.schema[length_col].dataType)
     return restored(rows.withColumns(changed), names)
 
 

@@ -112,10 +112,10 @@ def bit_counts(prints: DataFrame, bits: int) -> np.ndarray:
         at = np.triu_indices(bits)
         yield pa.RecordBatch.from_arrays([pa.array(at[0]), pa.array(at[1]), pa.array(total[at].astype(np.int64))], names=["a", "b", "n"])
 
-    rows = prints.select("fp").mapInArrow(partial, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toLocalIterator()
+    rows = prints.select("fp").mapInArrow(partial, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros((bits, bits))
-    for a, b, n in rows:  # one for each pair of bits
-        out[a, b] = out[b, a] = n
+    a, b, n = (x.to_numpy() for x in rows.columns)  # one for each pair of bits
+    out[a, b] = out[b, a] = n
     return out
 
 

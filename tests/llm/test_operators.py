@@ -164,6 +164,48 @@ def test_connected_components_of_a_long_chain_and_a_hub(spark):
     assert got == {k: 100 for k in range(100, 141)} | {7: 7} | {k: 7 for k in range(200, 230)}
 
 
+def test_few_edges_are_joined_without_rounds_of_stars(spark, monkeypatch):
+    """A long chain used to take a table and several shuffles a round; many edges still alternate stars, to the same rows."""
+    r = np.random.default_rng(3)
+    pairs = [(int(a), int(b)) for a, b in r.integers(-150, 150, (170, 2))]
+    chain = [int(k) for k in 1000 + r.permutation(60)]
+    edges = spark.createDataFrame(pairs + list(zip(chain[1:], chain, strict=False)), "a long, b long")
+    tables, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df, name: tables.append(name) or cut(df, name))
+    got = sorted(graph.connected_components(edges, "a", "b").collect())
+    assert len(tables) == 2 and graph.connected_components(edges.limit(0), "a", "b").count() == 0
+    monkeypatch.setattr(graph, "FEW", 100)
+    assert sorted(graph.connected_components(edges, "a", "b").collect()) == got and len(tables) > 6
+    reach = {x: {x} for e in pairs for x in e if e[0] != e[1]}
+    for a, b in [(a, b) for a, b in pairs if a != b]:
+        for x in (both := reach[a] | reach[b]):
+            reach[x] = both
+    assert dict(got) == {x: min(s) for x, s in reach.items()} | {x: 1000 for x in chain}
+
+
+def jobs_of(spark, partitions, run):
+    """How many jobs ``run`` takes with so many shuffle partitions."""
+    before, name = spark.conf.get("spark.sql.shuffle.partitions"), f"jobs-{partitions}-{id(run)}"
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.sparkContext.setJobGroup(name, "")
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_bits_are_counted_in_as_many_jobs_at_any_number_of_partitions(spark):
+    """They were fetched in a job a partition, one after the other."""
+    prints = np.random.default_rng(4).integers(0, 256, (50, 8), np.uint8)
+    rows = spark.createDataFrame([(k, p.tobytes()) for k, p in enumerate(prints)], "node long, fp binary")
+    ones = np.unpackbits(prints, axis=1, bitorder="little").astype(float)
+    found = []
+    assert 0 < jobs_of(spark, 12, lambda: found.append(simhash.bit_counts(rows, 64))) <= 3
+    assert (found[0] == ones.T @ ones).all()
+
+
 # --- 2 ------------------------------------------------------------------------------------------------
 
 

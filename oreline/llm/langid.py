@@ -88,8 +88,9 @@ def fit(docs: DataFrame, text: str, declared: str, languages: tuple[str, ...], s
         yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(gram), pa.array(total[lang, gram])], names=["l", "g", "n"])
 
     out = np.zeros((len(languages), 1 << 15))
-    for x in rows.where(where).dropDuplicates(["d", "h"]).select("t", "d").mapInArrow(count, "l long, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[x.l, x.g] = x.n  # at most 32768 a language
+    found = rows.where(where).dropDuplicates(["d", "h"]).select("t", "d").mapInArrow(count, "l long, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).toArrow()
+    lang, gram, n = (x.to_numpy() for x in found.columns)  # at most 32768 a language
+    out[lang, gram] = n
     return models(out)
 
 

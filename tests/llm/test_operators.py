@@ -206,6 +206,12 @@ def test_bits_are_counted_in_as_many_jobs_at_any_number_of_partitions(spark):
     assert (found[0] == ones.T @ ones).all()
 
 
+def test_languages_are_counted_in_as_many_jobs_at_any_number_of_partitions(spark):
+    docs = documents(spark, [prose(20, k) for k in range(40)], langs=["en", "de"] * 20)
+    few, many = (jobs_of(spark, n, lambda: langid.fit(docs, "text", "lang", langid.LANGUAGES)) for n in (2, 12))
+    assert 0 < many <= few + 1
+
+
 # --- 2 ------------------------------------------------------------------------------------------------
 
 

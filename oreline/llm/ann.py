@@ -1,11 +1,12 @@
-"""Nearest neighbours by inner product: an inverted file of coarse centroids whose lists hold
-product-quantised residuals, asymmetric distance tables, and exact reranking.
-
-Codebooks are fitted on a bounded sample; every row is indexed. Copies of a vector are one entry, with
-its least ids. Lists grow with the root of the rows; how many a query probes is measured on the
-sample. Lists are dealt to groups of a bounded number of codes, hot ones to several; a query goes to
-each group that has lists it probes, and streams past the codes there. Original vectors are read
-again only for the entries that the codes leave.
+"""Nearest neighbours by inner product, exactly: an inverted file of coarse centroids whose lists know how
+far their entries reach.
+
+Centroids are fitted on a bounded sample; every row is indexed. Copies of a vector are one entry, with
+its least ids. What a query scores in the sample bounds its last place from below, a list's centroid,
+radius and largest norm bound its entries from above: only lists that cannot hold one of the best are
+passed by. Lists are dealt to groups of a bounded number of entries, hot ones to several; a query goes
+to each group that has lists it needs and is scored there a matrix at a time, so its work is the
+lists that the bounds leave: few where vectors gather, all of them where they are spread evenly.
 """
 
 from __future__ import annotations
@@ -20,37 +21,18 @@ from pyspark.sql import functions as F
 
 from oreline.llm.common import cut
 
-#: Rows that codebooks are fitted on (those of least hash), most lists, parts of a vector, codes of a
-#: part, codes of a group, entries of a query that are scored exactly (more where codes tie).
-SAMPLE, LISTS, PARTS, CODES, BLOCK, RERANK = 16_384, 4_096, 16, 256, 16_384, 512
-#: Share of a query's best in the sample that must lie in the lists it probes, and queries that measure it.
-RECALL, MEASURED = 0.98, 512
-#: Deviations of the codes' error that an entry may fall short of the best of the sample.
-MARGIN = 3.0
+#: Rows that centroids are fitted on (those of least hash), most lists, entries of a group; the components
+#: that the sample and a group hold at most.
+SAMPLE, LISTS, BLOCK, SAMPLE_SIZE, BLOCK_SIZE = 16_384, 4_096, 16_384, 1 << 22, 1 << 20
 
-@dataclass
-class Index:
-    coarse: np.ndarray  # list x dimension
-    books: np.ndarray  # part x code x dimension of the part
-
-    def lists(self, v: np.ndarray) -> np.ndarray:
-        """The nearest centroid of each vector."""
-        return np.argmax(v @ self.coarse.T - (self.coarse**2).sum(1) / 2, 1)
 
-    def encode(self, v: np.ndarray, of: np.ndarray) -> np.ndarray:
-        rest = (v - self.coarse[of]).reshape(len(v), self.books.shape[0], -1)
-        return np.stack([np.argmax(rest[:, m] @ b.T - (b**2).sum(1) / 2, 1) for m, b in enumerate(self.books)], 1).astype(np.uint8)
+def lists_of(coarse: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The nearest centroid of each vector."""
+    return np.argmax(v @ coarse.T - (coarse**2).sum(1) / 2, 1)
 
-    def probes(self, q: np.ndarray, n: int) -> np.ndarray:
-        """The lists with the largest inner products, best first."""
-        return np.argsort(-(q @ self.coarse.T), 1, kind="stable")[:, :n]
 
-    def tables(self, q: np.ndarray) -> np.ndarray:
-        """Inner products of the parts of queries with every code: query x part x code."""
-        return np.einsum("mcd,qmd->qmc", self.books, q.reshape(len(q), self.books.shape[0], -1), optimize=True).astype(np.float32)
-
-    def decoded(self, code: np.ndarray, of: np.ndarray) -> np.ndarray:
-        return self.coarse[of] + np.concatenate([b[code[:, m]] for m, b in enumerate(self.books)], 1)
+def norms(v: np.ndarray) -> np.ndarray:
+    return np.sqrt((v * v).sum(1))
 
 
 def kmeans(v: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -67,14 +49,6 @@ def kmeans(v: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray
     return centre
 
 
-def fit(sample: np.ndarray, lists: int, parts: int = PARTS, codes: int = CODES) -> Index:
-    coarse = kmeans(sample, lists)
-    index = Index(coarse, np.zeros((parts, 1, sample.shape[1] // parts)))
-    rest = (sample - coarse[index.lists(sample)]).reshape(len(sample), parts, -1)
-    books = [kmeans(rest[:, m], codes, 8) for m in range(parts)]
-    return Index(coarse, np.stack(books))
-
-
 def usable(vector: Column, size: int) -> Column:
     """Neither null nor zero, of the common length, all components finite."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
@@ -85,19 +59,24 @@ def _matrix(column: pa.ListArray, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
 
 
-def probes_for(index: Index, sample: np.ndarray, top: int, recall: float = RECALL) -> int:
-    """The least number of lists whose probing finds ``recall`` of the exact best of held queries in the sample."""
-    asked = sample[: min(MEASURED, len(sample))]
-    of, place = index.lists(sample), np.empty((len(asked), len(index.coarse)), np.int64)
-    np.put_along_axis(place, index.probes(asked, len(index.coarse)), np.arange(len(index.coarse))[None], 1)
-    score = asked @ sample.T
-    np.fill_diagonal(score, -np.inf)
-    k = min(top, len(sample) - 1)
-    if k < 1:
-        return len(index.coarse)
-    best = np.argpartition(-score, k - 1, 1)[:, :k]
-    need = np.sort(np.take_along_axis(place, of[best], 1).ravel())
-    return int(need[min(len(need) - 1, int(np.ceil(recall * len(need))))]) + 1
+@dataclass
+class Bounds:
+    """What the lists hold at most; ``scale`` is the largest norm of all."""
+
+    coarse: np.ndarray  # list x dimension
+    radius: np.ndarray  # the largest distance of an entry from its list's centroid
+    norm: np.ndarray
+    scale: float
+
+    def slack(self, q: np.ndarray) -> np.ndarray:
+        """How far a sum in another order may be off."""
+        return 4 * q.shape[1] * np.finfo(float).eps * norms(q) * self.scale
+
+    def needed(self, q: np.ndarray, least: np.ndarray, of: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Query x list: whether the list may have an entry that scores ``least``. What overflows is needed."""
+        size = norms(q)[:, None]
+        most = np.minimum(q @ self.coarse[of].T + size * self.radius[of], size * self.norm[of])
+        return ~(most < least[:, None])
 
 
 def _grouped(start: Callable, answer: Callable, names: list[str]):
@@ -130,76 +109,52 @@ def _unpacked(column: pa.Array, kind: type) -> np.ndarray:
     return np.stack([np.frombuffer(x, kind) for x in column.to_pylist()])
 
 
-def _codes(shared, rerank: int):
-    """Search of codes: entries (list, id, code), queries (id, v, least, lists)."""
+def _scores(shared, kept: int):
+    """The ``kept`` best of a group for each query: entries (list, id, first, v), queries (id, v, least)."""
 
     def start(rows: pa.Table) -> tuple:
         order = np.argsort(of := rows["list"].to_numpy(), kind="stable")
-        code, ids = _unpacked(rows["code"], np.uint8)[order], rows["id"].to_numpy()[order]
-        lists, first = np.unique(of[order], return_index=True)
-        return code, ids, {int(x): (int(a), int(b)) for x, a, b in zip(lists, first, [*first[1:], len(of)], strict=True)}
-
-    def answer(state: tuple, asked: pa.RecordBatch) -> list[np.ndarray] | None:
-        code, ids, where = state
-        index: Index = shared.value
-        q, least, own = _unpacked(asked.column("v"), np.float64), asked.column("least").to_numpy(), asked.column("id").to_numpy()
-        probed: dict[int, list[int]] = {}
-        for k, lists in enumerate(asked.column("lists").to_pylist()):
-            for x in np.frombuffer(lists, np.int32).tolist():
-                probed.setdefault(x, []).append(k)
-        table, centred = index.tables(q), q @ index.coarse.T
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for x, ks in probed.items():
-            if x in where:
-                a, b = where[x]
-                score = np.repeat(centred[ks, x].astype(np.float32)[:, None], b - a, 1)
-                for m in range(code.shape[1]):
-                    score += table[ks, m][:, code[a:b, m]]
-                i, j = np.nonzero(score >= least[ks][:, None])
-                out.append((np.array(ks)[i], ids[a:b][j], score[i, j]))
-        if not out:
-            return None
-        k, found, score = (np.concatenate(x) for x in zip(*out, strict=True))
-        order = np.lexsort((-score, k))
-        k, found, score = k[order], found[order], score[order]
-        begin = np.searchsorted(k, np.arange(len(own)))  # of each query; what ties with the last stays
-        last = np.minimum(begin + rerank, np.append(begin[1:], len(k))) - 1
-        keep = score >= score[np.maximum(last, 0)][k]
-        return [own[k[keep]], found[keep], score[keep].astype(np.float64)]
-
-    return _grouped(start, answer, ["query", "id", "rough"])
-
-
-def _exact():
-    """Scores of original vectors: entries (id, v), queries (id, v, wanted)."""
-
-    def start(rows: pa.Table) -> tuple:
-        order = np.argsort(ids := rows["id"].to_numpy())
-        return ids[order], _unpacked(rows["v"], np.float64)[order]
+        lists, begin = np.unique(of[order], return_index=True)
+        return rows["id"].to_numpy()[order], rows["first"].to_numpy()[order], _unpacked(rows["v"], np.float64)[order], lists, [*begin.tolist(), len(of)]
 
     def answer(state: tuple, asked: pa.RecordBatch) -> list[np.ndarray]:
-        ids, v = state
-        out = []
-        for own, q, wanted in zip(asked.column("id").to_numpy(), _unpacked(asked.column("v"), np.float64), asked.column("wanted").to_pylist(), strict=True):
-            wanted = np.array(wanted, np.int64)
-            score = np.concatenate([(v[np.searchsorted(ids, wanted[at : at + BLOCK])] * q).sum(1) for at in range(0, len(wanted), BLOCK)])
-            out.append((np.full(len(wanted), own), wanted, score))
-        return [np.concatenate(x) for x in zip(*out, strict=True)]
-
-    return _grouped(start, answer, ["query", "id", "score"])
+        ids, first, v, lists, begin = state
+        bounds: Bounds = shared.value
+        q, least, own = _unpacked(asked.column("v"), np.float64), asked.column("least").to_numpy(), asked.column("id").to_numpy()
+        with np.errstate(all="ignore"):
+            needed = bounds.needed(q, least, lists)
+            if needed.all():
+                score = q @ v.T
+            else:
+                score = np.full((len(q), len(v)), -np.inf)
+                for x, (a, b) in enumerate(zip(begin[:-1], begin[1:], strict=True)):
+                    if len(ks := np.flatnonzero(needed[:, x])):
+                        score[ks, a:b] = q[ks] @ v[a:b].T
+            near, slack = ~(score < least[:, None]), bounds.slack(q)
+            for k in np.flatnonzero(near.sum(1) > 4 * kept):
+                near[k] &= ~(score[k] < np.partition(score[k], -kept)[-kept] - slack[k])
+            k, j = np.nonzero(near)
+            some = max(1, BLOCK_SIZE // q.shape[1])
+            exact = np.concatenate([np.zeros(0), *[(v[j[at : at + some]] * q[k[at : at + some]]).sum(1) for at in range(0, len(k), some)]])
+        order = np.lexsort((first[j], -exact, k))
+        k, j, exact = k[order], j[order], exact[order]
+        keep = np.arange(len(k)) - np.searchsorted(k, k) < kept
+        return [own[k[keep]], ids[j[keep]], first[j[keep]], exact[keep]]
+
+    return _grouped(start, answer, ["query", "id", "first", "score"])
 
 
 def nearest(
-    vectors: DataFrame, every: int = 20, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, lists: int | None = None, probes: int | None = None, parts: int = PARTS, rerank: int = RERANK
+    vectors: DataFrame, every: int = 20, top: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", sample: int = SAMPLE, lists: int | None = None, probes: int | None = None, parts: int | None = None, rerank: int | None = None
 ) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the ``top`` nearest found of each row whose id ``every`` divides.
+    """query_id, rank (from 1), vec_id, score: the ``top`` nearest of each row whose id ``every`` divides.
 
     Score is the inner product in double precision on the original vectors; ties go to the smaller
     id. Rows with null ids, and vectors that are null, zero, of another length than most, or
     hold null or non-finite components, take no part. Rows that repeat an id are candidates each,
-    but not of a query with that id. Empty tables give no rows. lists, probes: by default as many as
-    the root of the rows, and as many as ``RECALL`` takes. Entries go by a hash of their vector (n
-    share some with chance n * n / 2**65).
+    but not of a query with that id. Empty tables give no rows. lists: by default as many as
+    the root of the rows. Entries go by a hash of their vector (n share some with chance
+    n * n / 2**65). probes, parts, rerank: of a search that was not exact; they change nothing.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null")
@@ -207,89 +162,80 @@ def nearest(
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if some is None:
         return empty
-    size = some[0]
+    size, kept = some[0], 2 * top + 1
     rows = rows.where(usable(F.col("v"), size)).withColumn("node", F.xxhash64("v"))
     same = Window.partitionBy("node").orderBy("id")
     # Of the copies of a vector a query sees the least ids only; ids of queries stay all.
-    copies = rows.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= 2 * top + 1)
+    copies = rows.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= kept)
     copies = cut(copies.select("node", "id", "nth", F.when(F.col("nth") == 1, F.col("v")).alias("v")), "copies")
-    entries = copies.where("nth = 1").select(F.col("node").alias("id"), "v")
+    entries = copies.where("nth = 1").select(F.col("node").alias("id"), F.col("id").alias("first"), "v")
     n = entries.count()
     if not n:
         return empty
+    sample = min(sample, max(kept, SAMPLE_SIZE // size))
     picked = np.stack(list(entries.orderBy("id").limit(sample).select("v").toPandas()["v"]))  # ids of entries are hashes
-    index = fit(picked, min(lists or int(np.sqrt(n)) + 1, LISTS, len(picked)), parts if size % parts == 0 else 1)
-    probes = probes or probes_for(index, picked, top)
-    of = index.lists(picked)
-    asked = picked[:MEASURED]
-    error = float((asked @ (picked - index.decoded(index.encode(picked, of), of)).T).std())
-    shared, known = spark.sparkContext.broadcast(index), spark.sparkContext.broadcast(picked)
+    with np.errstate(all="ignore"):
+        coarse = kmeans(picked, min(lists or int(np.sqrt(n)) + 1, LISTS, len(picked)))
+    centres, known = spark.sparkContext.broadcast(coarse), spark.sparkContext.broadcast(picked)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = _matrix(batch.column(1), size)
-            of = shared.value.lists(v) if len(v) else np.zeros(0, np.int64)
-            code = shared.value.encode(v, of) if len(v) else np.zeros((0, 1), np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(of.astype(np.int32)), pa.array([x.tobytes() for x in code], pa.binary()), pa.array([x.tobytes() for x in v], pa.binary())], names=["id", "list", "code", "v"])
-
-    placed = cut(entries.mapInArrow(place, "id long, list int, code binary, v binary"), "lists")
-    counts = {r[0]: r[1] for r in placed.groupBy("list").count().collect()}  # at most one row a list
-    first, blocks, at, room = [], [], -1, 0
-    for k in range(len(index.coarse)):  # lists in turn share a group up to BLOCK codes; a longer one has several
-        c = counts.get(k, 0)
-        if c > room or at < 0:
-            at, room = at + (blocks[-1] if blocks and first[-1] == at else 1), BLOCK
-        first.append(at)
-        blocks.append(max(1, -(-c // BLOCK)))
-        room = room - c if c <= BLOCK else 0
+            v = _matrix(batch.column(2), size)
+            with np.errstate(all="ignore"):
+                of = lists_of(centres.value, v) if len(v) else np.zeros(0, np.int64)
+                far = norms(v - centres.value[of])
+                columns = [batch.column(0), batch.column(1), pa.array(of.astype(np.int32)), pa.array(far), pa.array(norms(v)), pa.array([x.tobytes() for x in v], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "first", "list", "far", "norm", "v"])
+
+    placed = cut(entries.mapInArrow(place, "id long, first long, list int, far double, norm double, v binary"), "lists")
+    counts, radius, norm = np.zeros(len(coarse), np.int64), np.zeros(len(coarse)), np.zeros(len(coarse))
+    for r in placed.groupBy("list").agg(F.count("*"), F.max("far"), F.max("norm")).collect():  # at most one row a list
+        counts[r[0]], radius[r[0]], norm[r[0]] = r[1], r[2], r[3]
+    # Distances are rounded, of long vectors far from zero too: more than they can be off is added.
+    shared = spark.sparkContext.broadcast(Bounds(coarse, radius + 1e-9 * (radius + norm), norm * (1 + 1e-9), float(norm.max())))
+    block = min(BLOCK, max(256, BLOCK_SIZE // size))
+    first, blocks, used, room = [], [], 0, 0
+    for c in counts.tolist():  # lists in turn share a group up to ``block`` entries; a longer one has several
+        blocks.append(max(1, -(-c // block)))
+        if c > room or not used:
+            first.append(used)
+            used, room = used + blocks[-1], block - c if c <= block else 0
+        else:
+            first.append(used - 1)
+            room -= c
     literal = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), F.col("list") + 1)
     group = (literal(first) + F.pmod(F.xxhash64("id", F.lit(3)), literal(blocks))).cast("int")
     placed = placed.withColumn("group", group)
+    of_list = np.repeat(np.arange(len(coarse)), blocks)  # the lists of the groups, by group
+    in_group = np.concatenate([np.arange(a, a + m) for a, m in zip(first, blocks, strict=True)])
+    begins = np.flatnonzero(np.diff(in_group, prepend=-1))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin, many = np.array(first), np.array(blocks)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                q = _unpacked(part.column(1), np.float64)
-                score = q @ known.value.T
-                # The entry of the sample that ``rerank`` of all are expected to reach; if that is better than the best
-                # ``top`` and the query's own, what may be as good as these by the error of its code.
-                k = max(top, int(rerank * len(known.value) / n))
-                if score.shape[1] > k:
-                    least = -np.partition(-score, k, 1)[:, k] - MARGIN * error * (k == top)
-                else:
-                    least = np.full(len(q), -np.inf)
-                out: list[tuple] = []
-                for own, v, low, of in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), least.tolist(), shared.value.probes(q, probes), strict=True):
-                    goes: dict[int, list[int]] = {}
-                    for x in of.tolist():
-                        for g in range(begin[x], begin[x] + many[x]):
-                            goes.setdefault(g, []).append(x)
-                    out += [(g, own, v, low, np.array(xs, np.int32).tobytes()) for g, xs in goes.items()]
-                if out:
-                    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.float64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["group", "id", "v", "least", "lists"])
+                q, least = _unpacked(part.column(1), np.float64), np.full(part.num_rows, -np.inf)
+                with np.errstate(all="ignore"):
+                    if len(known.value) > kept:
+                        least = np.partition(q @ known.value.T, -kept, 1)[:, -kept] - shared.value.slack(q)
+                    goes = np.logical_or.reduceat(shared.value.needed(q, least)[:, of_list], begins, axis=1)
+                k, g = np.nonzero(goes)
+                if len(k):
+                    yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int32)), part.column(0).take(pa.array(k)), part.column(1).take(pa.array(k)), pa.array(least[k])], names=["group", "id", "v", "least"])
 
     queries = rows.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "node")
     queries = cut(queries, "queries")
-    asking = cut(placed.join(queries.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select("id", "v"), "asking")
+    asking = placed.join(queries.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select("id", "v")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    sent = asking.mapInArrow(ask, "group int, id long, v binary, least double")
+    both = placed.select("group", "id", "first", "list", "v").withColumn("kind", F.lit(0)).unionByName(sent.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    both = both.repartition(tasks, "group").sortWithinPartitions("group", "kind")
+    scored = both.mapInArrow(_scores(shared, kept), "query long, id long, first long, score double")
 
-    def dealt(one: DataFrame, other: DataFrame) -> DataFrame:
-        both = one.withColumn("kind", F.lit(0)).unionByName(other.withColumn("kind", F.lit(1)), allowMissingColumns=True)
-        return both.repartition(tasks, "group").sortWithinPartitions("group", "kind")
-
-    sent = asking.mapInArrow(ask, "group int, id long, v binary, least double, lists binary")
-    rough = dealt(placed.select("group", "id", "list", "code"), sent).mapInArrow(_codes(shared, rerank), "query long, id long, rough double")
-    best = rough.withColumn("place", F.rank().over(Window.partitionBy("query").orderBy(F.desc("rough")))).where(F.col("place") <= rerank).select("query", "id")
-    best = best.join(placed.select("id", "group"), "id").groupBy("query", "group").agg(F.collect_list("id").alias("wanted"))
-    wanted = best.join(asking.select(F.col("id").alias("query"), "v"), "query").select("group", F.col("query").alias("id"), "v", "wanted")
-    exact = dealt(placed.select("group", "id", "v"), wanted).mapInArrow(_exact(), "query long, id long, score double")
-
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    down = F.desc(F.nanvl("score", F.lit(float("-inf"))))
+    best = scored.withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy(down, "first"))).where(F.col("nth") <= kept)
     ids = copies.select(F.col("node").alias("id"), F.col("id").alias("vec_id"))
-    each = exact.join(ids, "id").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= 2 * top + 1)
+    each = best.join(ids, "id").withColumn("nth", F.row_number().over(Window.partitionBy("query").orderBy(down, "vec_id"))).where(F.col("nth") <= kept)
     found = queries.join(each, F.col("node") == F.col("query")).where("vec_id != query_id").select("query_id", "vec_id", "score")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(down, "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -636,6 +636,37 @@ def test_copies_beyond_the_rerank_are_told_apart(spark):
     assert only.vec_id.tolist() == sorted(ids[copies].tolist())[:20]
 
 
+@pytest.mark.parametrize("kind", ["norms", "near copies", "whole numbers", "long and short"])
+def test_nearest_is_brute_force_on_uneven_vectors(spark, kind):
+    """Norms that differ, near copies, products that tie, few long vectors; of a length that few numbers divide."""
+    r, n = np.random.default_rng(4), 1_500
+    v = r.normal(size=(n, 10))
+    if kind == "norms":
+        v *= np.exp(1.5 * r.normal(size=(n, 1)))
+    elif kind == "near copies":
+        v = v[r.integers(3, size=n)] + 1e-4 * r.normal(size=(n, 10))
+    elif kind == "whole numbers":
+        v = np.sign(v) * (np.abs(v) > 1.2) + (np.arange(10) == 0)
+    else:
+        v[r.choice(n, 30, replace=False)] *= 40
+    ids = r.permutation(n)
+    frame = spark.createDataFrame([(int(k), x.tolist()) for k, x in zip(ids, v, strict=True)], "vec_id long, embedding array<double>")
+    got = ann.nearest(frame, sample=300).orderBy("query_id", "rank").toPandas()
+    usable = np.abs(v).sum(1) > 0
+    assert len(got) == 20 * np.sum(usable & (ids % 20 == 0))
+    for q, own in got.groupby("query_id"):
+        s = np.where(usable & (ids != q), (v * v[ids == q][0]).sum(1), -np.inf)
+        best = np.lexsort((ids, -s))[:20]
+        assert own.vec_id.tolist() == ids[best].tolist() and own.score.tolist() == s[best].tolist()
+
+
+def test_lists_that_cannot_hold_the_best_are_passed_by():
+    v = np.array([[1.0, 0.0], [0.0, 1.0], [-1.0, 0.0]])
+    bounds = ann.Bounds(v, np.array([0.1, 0.1, 0.1]), np.array([1.1, 1.1, 1.1]), 1.1)
+    assert bounds.needed(v[:1], np.array([0.5])).tolist() == [[True, False, False]]
+    assert bounds.needed(v[:1], np.array([-np.inf])).all() and bounds.needed(v[:1] * 1e300, np.array([np.nan])).all()
+
+
 # --- 10 -----------------------------------------------------------------------------------------------
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

@@ -1,15 +1,20 @@
 """Search of many terms in texts: exact, normalised and with typing errors.
 
-Texts are cut into words inside their row, words are held against the keys of the variations there
-(or, of many, in a join with their table), and get their place; so nothing but hits is ever shuffled.
+Of few keys, one regular expression finds the words that may be hits; they are held against the keys,
+told apart and given their place inside their row, and nothing is shuffled. Of many keys, texts are
+cut into all their words, which meet the keys in a join with their table.
 Offsets and columns count bytes of UTF-8, lines count from 1.
 """
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -111,8 +116,7 @@ class Search:
         """How many variations beside the terms, and how many distinct prefixes (with the empty one) they have."""
         return {"variations": sum(not k.exact_candidate for k in self.keywords), "nodes": len({k.variation[:i] for k in self.keywords for i in range(len(k.variation) + 1)})}
 
-    def keyword_frame(self, spark: SparkSession, once: bool = False) -> DataFrame:
-        """The keywords as a table. once: of those of a group that share key and original only the first."""
+    def _keyword_rows(self, once: bool) -> list[tuple]:
         rows, seen = [], set()
         for k in self.keywords:
             key = self._key_of(k)
@@ -120,7 +124,11 @@ class Search:
                 continue
             seen.add((k.group, key, k.original))
             rows.append((k.ord, k.original, k.variation, k.exact_candidate, list(k.alt_originals) if k.alt_originals else None, key, k.group))
-        return spark.createDataFrame(rows, "ord long, original string, variation string, exact_candidate boolean, alt_originals array<string>, key string, group int")
+        return rows
+
+    def keyword_frame(self, spark: SparkSession, once: bool = False) -> DataFrame:
+        """The keywords as a table. once: of those of a group that share key and original only the first."""
+        return spark.createDataFrame(self._keyword_rows(once), "ord long, original string, variation string, exact_candidate boolean, alt_originals array<string>, key string, group int")
 
     def nbytes(self) -> int:
         """How large the keyword table is: its strings and 64 bytes a row."""
@@ -147,24 +155,9 @@ class Search:
             docs = docs.withColumn(text, F.when(bad != "", F.raise_error(F.concat(F.lit("invalid character '"), bad, F.lit("'")))).otherwise(F.col(text)))
         own = [f"k{i}" for i in range(len(key))]
         rows = docs.select(*[F.col(k).alias(c) for c, k in zip(own, key, strict=True)], *([F.col(routes).alias("routes")] if routes else []), F.explode(self._placed(F.col(text))).alias("w"))
-        carried = [*own, *["routes"] * bool(routes)]
-        rows = rows.select(*carried, "w.*").select("*", F.explode("spans").alias("s")).drop("spans")
-
-        terms = self.keyword_frame(docs.sparkSession, once=p.anchor_beginning and p.anchor_end and p.match != Match.TYPO)
-        found = rows.join(F.broadcast(terms) if self.nbytes() <= BROADCAST_BYTES else terms, F.col("s.key") == terms["key"])
-        if routes:
-            found = found.where(F.array_contains("routes", F.col("group")))
-
-        unit = "-+|[^-]" if a.collapse else "."
-        raw = lambda n: F.coalesce(F.regexp_substr("word", F.concat(F.lit(f"(?s)^(?:{unit}){{"), n.cast("string"), F.lit("}"))), F.lit(""))
-        begin, end = F.octet_length(raw(F.col("s.from"))), F.octet_length(raw(F.col("s.from") + F.col("s.size")))
-        found = found.withColumn("begin", begin).withColumn("stop", end)
-        if p.match == Match.TYPO:
-            found = found.where(self._is_typo())
-        if not (p.anchor_beginning and p.anchor_end and p.match != Match.TYPO):
-            live = F.col("s.from") + F.col("s.size") == F.col("width")
-            order = [(~live).cast("int"), F.when(live, 0).otherwise(F.col("stop")), F.col("begin"), F.col("ord")]
-            found = found.withColumn("first", F.row_number().over(Window.partitionBy(*own, "at", "group", "original").orderBy(*order))).where("first = 1")
+        rows = rows.select(*own, *["routes"] * bool(routes), "w.*")
+        few = len({self._key_of(k) for k in self.keywords}) <= LITERAL_KEYS
+        found = (self._told_apart if few else self._joined)(rows, own, bool(routes))
         start = F.col("at")
         out = [
             *[F.col(c).alias(k) for c, k in zip(own, key, strict=True)], "original", "variation", F.col("word").alias("matched_text"), "line_number", (start - F.col("line_start") + 1).alias("column"),
@@ -172,6 +165,121 @@ class Search:
         ]
         return found.select(*out, *["group"] * bool(routes), *[F.col(f"context.{c}") for c in CONTEXT] * p.context)
 
+    def _bytes_of(self, n: Column) -> Column:
+        """Bytes of ``word`` that the first ``n`` characters of its key stand for."""
+        left = lambda: F.octet_length(F.left("word", n))
+        if not self.alphabet.collapse:
+            return left()
+        runs = F.regexp_substr("word", F.concat(F.lit("(?s)^(?:-+|[^-]){"), n.cast("string"), F.lit("}")))
+        return F.when(F.contains("word", F.lit("--")), F.octet_length(F.coalesce(runs, F.lit("")))).otherwise(left())
+
+    def _first_only(self) -> bool:
+        """Whether a term may be found several times in a word."""
+        p = self.parameters
+        return not (p.anchor_beginning and p.anchor_end and p.match != Match.TYPO)
+
+    @staticmethod
+    def _order(width: Column, s: Column, begin: Column, stop: Column) -> list[Column]:
+        live = s["from"] + s["size"] == width
+        return [(~live).cast("int"), F.when(live, 0).otherwise(stop), begin]
+
+    def _told_apart(self, rows: DataFrame, own: list[str], routes: bool) -> DataFrame:
+        """A row per term and word of ``rows``; keywords are looked up and told apart inside the word's row."""
+        of, terms = {}, {}
+        for ord_, original, variation, _, alts, key, group in self._keyword_rows(not self._first_only()):
+            term = terms.setdefault((group, original), len(terms))
+            of.setdefault(key, []).append({"ord": ord_, "original": original, "variation": variation, "alt_originals": alts, "group": group, "term": term})
+        keys = F.array(*[F.lit(k) for k in of])
+        known = F.from_json(F.lit(json.dumps(list(of.values()))), "array<array<struct<ord:long,original:string,variation:string,alt_originals:array<string>,group:int,term:int>>>")
+
+        def entries(s: Column) -> Column:
+            def entry(at: Column) -> Callable[[Column], Column]:
+                shown = [at["begin"].alias("begin"), at["stop"].alias("stop")]
+                order = [c.alias(f"o{i}") for i, c in enumerate(self._order(F.col("width"), s, at["begin"], at["stop"]))]
+                return lambda k: F.struct(*order, *[k[c].alias(c) for c in ("ord", "original", "variation", "alt_originals", "group", "term")], *shown)
+
+            at = F.struct(self._bytes_of(s["from"]).alias("begin"), self._bytes_of(s["from"] + s["size"]).alias("stop"))
+            return let(at, lambda x: F.transform(F.get(known, (F.array_position(keys, s["key"]) - 1).cast("int")), entry(x)))
+
+        def firsts(all_: Column) -> Column:
+            return F.transform(F.array_distinct(F.transform(all_, lambda e: e["term"])), lambda t: F.array_min(F.filter(all_, lambda e: e["term"] == t)))
+
+        hits = F.flatten(F.transform("spans", entries))
+        if routes:
+            hits = F.filter(hits, lambda e: F.array_contains("routes", e["group"]))
+        if self.parameters.match == Match.TYPO:
+            hits = F.filter(hits, lambda e: self._is_typo(lambda c: e[c]))
+        hits = let(hits, firsts) if self._first_only() else hits
+        return rows.withColumn("e", F.explode(hits)).drop("spans").select("*", *[F.col(f"e.{c}") for c in ("ord", "original", "variation", "group", "begin", "stop")])
+
+    def _joined(self, rows: DataFrame, own: list[str], routes: bool) -> DataFrame:
+        """The same by a join with the table of keywords."""
+        rows = rows.select("*", F.explode("spans").alias("s")).drop("spans")
+        terms = self.keyword_frame(rows.sparkSession, once=not self._first_only())
+        found = rows.join(F.broadcast(terms) if self.nbytes() <= BROADCAST_BYTES else terms, F.col("s.key") == terms["key"])
+        if routes:
+            found = found.where(F.array_contains("routes", F.col("group")))
+        found = found.withColumn("begin", self._bytes_of(F.col("s.from"))).withColumn("stop", self._bytes_of(F.col("s.from") + F.col("s.size")))
+        if self.parameters.match == Match.TYPO:
+            found = found.where(self._is_typo(F.col))
+        if self._first_only():
+            order = [*self._order(F.col("width"), F.col("s"), F.col("begin"), F.col("stop")), F.col("ord")]
+            found = found.withColumn("first", F.row_number().over(Window.partitionBy(*own, "at", "group", "original").orderBy(*order))).where("first = 1")
+        return found
+
+    def _pattern(self) -> str | None:
+        """What finds the words that may be hits, if there are few keys: whole words, with all that are hits and few more.
+
+        The keys are a tree. A character of a key stands for those that the key of a word may have it
+        from: both cases (of letters beyond ASCII: any), runs of delimiters.
+        """
+        p, a = self.parameters, self.alphabet
+        keys = {self._key_of(k) for k in self.keywords}
+        if len(keys) > LITERAL_KEYS or "" in keys:
+            return None
+        wide = "\\p" in a.body
+        other = f"[\\P{{ASCII}}&&[{a.body}]]"
+
+        def unit(c: str) -> str:
+            if c == "-" and (a.collapse or a.merged):
+                return "[-._]++" if a.merged else "-++"
+            if not a.fold:
+                return re.escape(c)
+            if ord(c) > 127:
+                return other
+            both = re.escape(c) if c == c.upper() else c + c.upper()
+            return f"[{both}\\P{{ASCII}}&&[{a.body}]]" if wide else f"[{both}]"
+
+        tree: dict = {}
+        for key in keys:
+            if regex.search(f"[^{a.body}]", "".join(c for c in key if c.isascii())):
+                continue  # no word has such a key
+            units = [unit(c) for c in key.replace("\u0307", "" if a.fold else "\u0307")]
+            node = tree
+            for k, u in enumerate(units):
+                node = node if k and u == units[k - 1] and u.endswith("++") else node.setdefault(u, {})
+            node[""] = {}
+
+        def said(node: dict) -> str:
+            if not p.anchor_end and "" in node:
+                return ""
+            each = [u + said(x) if u else "" for u, x in sorted(node.items(), reverse=True)]
+            return each[0] if len(each) == 1 else f"(?:{'|'.join(each)})"
+
+        if not tree:
+            return "(?!)"
+        begin, end = "" if p.anchor_beginning else f"[{a.body}]*?", f"(?![{a.body}])" if p.anchor_end else f"[{a.body}]*+"
+        # A character beyond 16 bits, here never matched, has Java look behind by characters instead of their halves.
+        return f"(?<![{a.body}]){begin}{said(tree)}{end}" + "(?:\U00010000){0}" * wide
+
+    def _tokens(self, text: Column) -> Column:
+        """A text in pieces, which joined are the text; of few keys the words that may be hits have the odd places."""
+        pattern = self._pattern()
+        if pattern is None:
+            return self.alphabet.tokens(text)
+        gaps, words = F.split(text, F.lit(pattern), -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        return F.flatten(F.zip_with(gaps, words, lambda g, w: F.array(g, F.coalesce(w, F.lit("")))))
+
     def _candidates(self, tokens: Column) -> Column:
         """The words of ``tokens`` that may be hits, with those spans of their keys that may be variations.
 
@@ -189,8 +297,7 @@ class Search:
         else:
             fits = lambda t: F.length(t).isin(lengths) | F.contains(t, F.lit("--")) if collapses else F.length(t).isin(lengths)
         words = F.filter(F.transform(tokens, lambda t, i: F.struct(i.alias("pos"), t.alias("word"))), lambda w: fits(w["word"]))
-        if len(keys) > LITERAL_KEYS:
-            words = F.filter(words, lambda w: a.is_word(w["word"]))
+        words = F.filter(words, lambda w: a.is_word(w["word"])) if self._pattern() is None else F.filter(words, lambda w: w["pos"] % 2 == 1)
         words = F.transform(words, lambda w: F.struct(w["pos"].alias("pos"), w["word"].alias("word"), self._word_key(w["word"]).alias("key")))
         empty = F.array().cast("array<struct<from:int,size:int,key:string>>")
 
@@ -242,17 +349,17 @@ class Search:
             return F.transform(hits, place)
 
         found = lambda t: let(self._candidates(t), lambda h: let(sizes(t, h), lambda z: let(scans(z), lambda s: placed(t, h, s))))
-        return let(self.alphabet.tokens(text), found)
+        return let(self._tokens(text), found)
 
-    def _is_typo(self) -> Column:
-        """Whether a hit is no hit of the term itself."""
+    def _is_typo(self, of: Callable[[str], Column]) -> Column:
+        """Whether a hit, with columns ``of`` its keyword and place, is no hit of the term itself."""
         kind = self.parameters.character_set
         if kind == CharacterSet.PACKAGE:
-            return F.lower("word") != F.col("original")
+            return F.lower("word") != of("original")
         if kind == CharacterSet.DOMAIN:
-            return F.col("alt_originals").isNotNull() & ~F.coalesce(F.array_contains("alt_originals", F.lower("word")), F.lit(False))
-        around = F.substring(F.col("word").cast("binary"), F.greatest(F.col("begin"), F.lit(1)), F.col("stop") - F.greatest(F.col("begin") - 1, F.lit(0)) + 1)
-        return ~F.contains(F.lower(around.cast("string")), F.col("original"))
+            return of("alt_originals").isNotNull() & ~F.coalesce(F.array_contains(of("alt_originals"), F.lower("word")), F.lit(False))
+        around = F.substring(F.col("word").cast("binary"), F.greatest(of("begin"), F.lit(1)), of("stop") - F.greatest(of("begin") - 1, F.lit(0)) + 1)
+        return ~F.contains(F.lower(around.cast("string")), of("original"))
 
     def _context(self, tokens: Column, pos: Column) -> Column:
         """Bytes around word ``pos`` of ``tokens``; a cut character and what is neither letter, number, sign

@@ -1,5 +1,8 @@
 """Searches on literal cases: mode, set, anchors, terms, text, and the terms found in order."""
 
+import random
+import re
+
 import pytest
 
 from oreline.functions import variations as V
@@ -87,3 +90,39 @@ def test_many_keys_are_joined_with_their_table(spark, monkeypatch, kind, begin,
     assert rows() == few and few
     monkeypatch.setattr(search_module, "BROADCAST_BYTES", 0)
     assert rows() == few
+
+
+#: Terms and anchors of searches that tell several finds of a term in a word apart.
+APART = {"substring": (M.EXACT, False, False, ["tion", "ionth", "stst"])}
+
+
+@pytest.mark.parametrize("name", APART)
+def test_finds_are_told_apart_without_a_shuffle(spark, name):
+    mode, begin, end, terms = APART[name]
+    r = random.Random(name)
+    texts = ["".join(r.choice(["tion", "ther", "ing", "eau", "st", "Th", "x", "-", "--", ".", " ", "\n", "é", "\U0001f600", "h"]) for _ in range(r.randrange(60))) for _ in range(200)]
+    found = Search(terms, Parameters(mode, anchor_beginning=begin, anchor_end=end)).match_permissive(spark, texts)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    fold = (lambda w: re.sub("-+", "-", w.lower()).translate(str.maketrans("._", "--"))) if mode == M.NORMALIZED else str
+    want = set()
+    for k, text in enumerate(texts):
+        for w in re.finditer(r"[A-Za-z0-9._\-]+", text):
+            key = fold(w.group())
+            for t in terms:
+                if key.startswith(t) if begin else key.endswith(t) if end else t in key:
+                    want.add((k, t, w.group(), len(text[: w.start()].encode()), text[: w.start()].count("\n") + 1))
+    got = found.select("index", "original", "matched_text", "start_of_word", "line_number").collect()
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+
+
+@pytest.mark.parametrize("kind,mode,begin,end,terms", [(C.INPUT, M.NORMALIZED, False, True, ["über", "i̇s"]), (C.INPUT, M.EXACT, True, False, ["\U0001d49c", "où"]), (C.DOMAIN, M.BOTH, False, False, ["ab-c.com"]), (C.URL, M.TYPO, False, False, ["a/b"]), (C.PACKAGE, M.BOTH, True, True, ["a-b.c"])])
+def test_words_found_by_pattern_are_those_of_all_words(spark, monkeypatch, kind, mode, begin, end, terms):
+    """Letters beyond 16 bits, of several cases and runs of delimiters, in a text and beside each other."""
+    r = random.Random(f"{kind}{mode}")
+    bits = ["über", "ÜBER", "où", "İs", "i̇s", "\U0001d49c", "\U0001f600", "ab-c", "a-b", "a/b", "AB", ".com", ".c", "-", "--", "._", " ", "\n", "–", "K", "x"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(30))) for _ in range(250)] + ["-" * 3_000, None, ""]
+    search = Search([t.replace("i̇", "i") for t in terms], Parameters(mode, kind, begin, end, context=True, columns=5, tlds=("com", "org")))
+    rows = lambda: sorted(map(str, search.match_permissive(spark, texts).collect()))
+    few = rows()
+    monkeypatch.setattr(search_module, "LITERAL_KEYS", 0)
+    assert few and rows() == few

@@ -93,7 +93,11 @@ def test_many_keys_are_joined_with_their_table(spark, monkeypatch, kind, begin,
 
 
 #: Terms and anchors of searches that tell several finds of a term in a word apart.
-APART = {"substring": (M.EXACT, False, False, ["tion", "ionth", "stst"]), "prefix": (M.NORMALIZED, True, False, ["ther", "tion"])}
+APART = {
+    "substring": (M.EXACT, False, False, ["tion", "ionth", "stst"]),
+    "prefix": (M.NORMALIZED, True, False, ["ther", "tion"]),
+    "suffix": (M.NORMALIZED, False, True, ["ing", "eau"]),
+}
 
 
 @pytest.mark.parametrize("name", APART)
